@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from paceline.llm import simhash
+from paceline.llm import huffman, media, mixing, simhash, token_counts
 
 QUERIES = {
+    "op2_media_columns": media.op2_media_columns,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op5_token_output": huffman.op5_token_output,
+    "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_poisson_mix": mixing.OP8_SQL}
