@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from paceline.llm import huffman, media, mixing, simhash, token_counts
+from paceline.llm import huffman, language, media, mixing, quality, simhash, token_counts
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_token_output": huffman.op5_token_output,
+    "op6_language_id": language.op6_language_id,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
