@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from paceline.llm import huffman, language, media, mixing, quality, simhash, token_counts
+from paceline.llm import decontaminate, huffman, language, media, mixing, quality, simhash, token_counts
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_media_columns": media.op2_media_columns,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_quality_classifier": quality.op4_quality_classifier,
@@ -14,4 +15,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {"op8_poisson_mix": mixing.OP8_SQL}
+ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": decontaminate.OP1_SQL,
+    "op8_poisson_mix": mixing.OP8_SQL,
+}
