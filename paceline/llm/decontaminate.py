@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.common import bytes_of, small_batches
+from paceline.llm.suffixes import suffix_order
 
 WINDOW = 13
 #: Symbols of a shard; a longer document is a shard of its own.
@@ -72,53 +73,6 @@ def phrases(items: list[tuple[str, bytes | None]], window: int) -> Phrases:
     )
 
 
-def suffix_order(s: np.ndarray) -> np.ndarray:
-    """Positions of ``s`` in the order of their suffixes.
-
-    A suffix ends at its first separator (0); the separator that comes earlier in ``s`` is the
-    smaller one. Prefix doubling: separators have their final ranks at once, and only positions
-    whose rank is shared go through the next round.
-    """
-    n = len(s)
-    ends = np.flatnonzero(s == 0)
-    bits = max(1, int(s.max()).bit_length())
-    first = max(1, min(62 // bits, 8))
-    key = np.zeros(n, np.uint64)
-    live = np.ones(n, bool)
-    for k in range(first):
-        part = np.zeros(n, np.uint64)
-        part[: max(0, n - k)] = s[k:]
-        live &= part > 0
-        key = (key << np.uint64(bits)) | np.where(live, part, np.uint64(0))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    rank = np.empty(n, np.int64)
-    start = np.r_[True, key[1:] != key[:-1]]
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    rank[ends] = np.arange(len(ends))
-    order[: len(ends)] = ends
-    depth = first
-    # suffixes that ended within the symbols compared so far tie by their separator's place
-    upto = np.full(n, n, np.int64)
-    upto[ends] = ends
-    upto = np.minimum.accumulate(upto[::-1])[::-1]
-    while True:
-        sorted_rank = rank[order]
-        shared = np.r_[False, sorted_rank[1:] == sorted_rank[:-1]]
-        shared |= np.r_[shared[1:], False]
-        at = np.flatnonzero(shared)
-        if not len(at):
-            return order
-        p = order[at]
-        nxt = np.where(upto[p] - p < depth, rank[upto[p]], rank[np.minimum(p + depth, n - 1)])
-        again = np.lexsort((nxt, sorted_rank[at]))
-        p, group, nxt = p[again], sorted_rank[at][again], nxt[again]
-        order[at] = p
-        start = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
-        rank[p] = np.maximum.accumulate(np.where(start, at, 0))
-        depth *= 2
-
-
 class WaveletTree:
     """Rank queries over a sequence: level by level, zeros before ones, with running counts of ones."""
 
