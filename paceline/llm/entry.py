@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import decontaminate, huffman, language, media, mixing, quality, simhash, suffix_dedup, token_counts
+from paceline.llm import decontaminate, huffman, language, media, mixing, passages, quality, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_token_output": huffman.op5_token_output,
     "op6_language_id": language.op6_language_id,
+    "op7_compact_windows": passages.op7_compact_windows,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
