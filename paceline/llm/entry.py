@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from paceline.llm import decontaminate, huffman, language, media, mixing, passages, quality, simhash, suffix_dedup, token_counts
 
 QUERIES = {
@@ -15,9 +16,12 @@ QUERIES = {
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -123,23 +123,21 @@ class Encoder:
     """Texts to ids as packed integers; ids of words that were met lately are remembered."""
 
     def __init__(self, path: str, kind: str):
-        self.path, self.kind, self.seen = path, np.dtype(kind), {}
+        self.path, self.kind, self.seen = path, np.dtype(kind), vocab.memory(path, kind)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def stretch(self, text: str) -> bytes:
-        t = vocab.tokenizer(self.path)
         if vocab.OUTSIDE.search(text):
-            return self.pack(t.encode(text, add_special_tokens=False).ids)
+            return self.pack(vocab.tokenizer(self.path).encode(text, add_special_tokens=False).ids)
         found = vocab.WORD_RULE.findall(text.lower())
         packed = list(map(self.seen.get, found))
         if None in packed:
             if len(self.seen) > vocab.REMEMBERED:
-                self.seen = {}
-            rest = list({x for x, p in zip(found, packed, strict=True) if p is None})
-            new = {x: self.pack(e.ids) for x, e in zip(rest, t.encode_batch(rest, add_special_tokens=False), strict=True)}
-            self.seen |= new
+                self.seen.clear()
+            new = {x: self.pack(vocab.merged(self.path, x)) for x in {x for x, p in zip(found, packed, strict=True) if p is None}}
+            self.seen.update(new)
             packed = [new[x] if p is None else p for x, p in zip(found, packed, strict=True)]
         return b"".join(packed)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import bytes_of, scratch, small_batches
+from paceline.llm.common import bytes_of, scratch, small_batches, staged
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -264,7 +264,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     made.write.option("compression", "none").parquet(at)  # images are deflated already
     kept = spark.read.schema(made.schema).parquet(at)
     sequences = parse_interleaved(kept, "id", "html")
-    found = resolve(sequences, features(kept)).where("kind = 'media'")
+    # a table of its own on either side lets Spark split the partitions of a digest with many references
+    found = resolve(sequences, staged(features(kept))).where("kind = 'media'")
     names = [x.split()[0] for x in FEATURES.split(", ")]
     return found.select(F.col("id").alias("doc_id"), *names, "position", "caption")
 

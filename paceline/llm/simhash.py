@@ -52,15 +52,16 @@ def fingerprint(data: bytes | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, text_hash, fp)`` for every row; ``fp`` is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
+    rows = bytes_of(docs, id_col, text_col).select("doc_id", F.xxhash64("data").alias("text_hash"), "data")
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(x, words) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = [fingerprint(x, words) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return bytes_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def remainder(x: np.ndarray) -> np.ndarray:
@@ -226,13 +227,35 @@ def near_duplicates(
     if it has none). An empty table gives an empty result. Other columns are not read.
     """
     of = staged(fingerprints(docs, id_col, text_col, words))
-    nodes = staged(of.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    part = connected_components(near_links(nodes, threshold))
-    named = nodes.join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = grouped(of, threshold)
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     final = named.join(ids, "component").select("fp", "component_id")
     return of.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def grouped(of: DataFrame, threshold: int) -> DataFrame:
+    """``(fp, first_id, component)`` of the distinct fingerprints; a component is named by one of them."""
+    nodes = staged(of.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    part = connected_components(near_links(nodes, threshold))
+    return nodes.join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = 2) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with its columns as they are.
+
+    The row with the smallest id stays, one without an id only if no row of the group has one; of
+    different texts with equal ids the one with the smaller hash, of wholly equal rows any one.
+    """
+    of = staged(fingerprints(docs, id_col, text_col, words))
+    part = staged(grouped(of, threshold).select("fp", "component"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    stay = of.join(part, "fp").groupBy("component").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_hash")
+    stay = stay.withColumnsRenamed({"doc_id": "_stay_id", "text_hash": "_stay_hash"})
+    text_hash = F.xxhash64(docs[text_col].cast("string").cast("binary"))
+    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stay_id")) & (text_hash == F.col("_stay_hash")), "left_semi")
+    twice = of.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates([id_col, text_col])
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

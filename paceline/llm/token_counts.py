@@ -37,7 +37,9 @@ class Counter:
     """Counts tokens of texts; ``seen`` holds the proven set and what was merged lately."""
 
     def __init__(self, path: str, whole: frozenset[str]):
-        self.path, self.whole, self.seen = path, whole, dict.fromkeys(whole, 1)
+        self.path, self.whole, self.seen = path, whole, vocab.memory(path, "counts")
+        if not self.seen:
+            self.seen.update(dict.fromkeys(whole, 1))
 
     def stretch(self, text: str) -> int:
         if vocab.OUTSIDE.search(text):
@@ -48,11 +50,10 @@ class Counter:
         counts = list(map(self.seen.get, found))
         if None in counts:
             if len(self.seen) > len(self.whole) + vocab.REMEMBERED:
-                self.seen = dict.fromkeys(self.whole, 1)
-            rest = list({x for x, n in zip(found, counts, strict=True) if n is None})
-            merged = vocab.tokenizer(self.path).encode_batch(rest, add_special_tokens=False)
-            new = {x: len(e.ids) for x, e in zip(rest, merged, strict=True)}
-            self.seen |= new
+                self.seen.clear()
+                self.seen.update(dict.fromkeys(self.whole, 1))
+            new = {x: len(vocab.merged(self.path, x)) for x in {x for x, n in zip(found, counts, strict=True) if n is None}}
+            self.seen.update(new)
             return sum(new[x] if n is None else n for x, n in zip(found, counts, strict=True))
         return sum(counts)
 

@@ -25,8 +25,8 @@ BYTE_RULE = re.compile(
     f"{SUFFIXES}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 WORD_RULE = re.compile(f"{SUFFIXES}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
-#: Pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers before it starts afresh; some 200 bytes each.
+REMEMBERED = 800_000
 
 
 @cache
@@ -48,3 +48,28 @@ def pieces(path: str, text: str) -> list[str]:
     """Ordinary stretches at even places, special strings at odd ones."""
     rule = special(path)
     return rule.split(text) if rule and "<|" in text else [text]
+
+
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabularies: printable bytes are themselves, the rest follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+@cache
+def merges(path: str):
+    return tokenizer(path).model
+
+
+def merged(path: str, pre_token: str) -> list[int]:
+    """The ids of one pre-token, by the library's merges alone."""
+    letters = pre_token if pre_token.isascii() and pre_token.isalnum() else pre_token.encode().decode("latin-1").translate(byte_letters())
+    return [t.id for t in merges(path).tokenize(letters)]
+
+
+@cache
+def memory(path: str, use: str) -> dict:
+    """What this worker has learned about pre-tokens, over all its tasks."""
+    return {}
