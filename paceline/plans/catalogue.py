@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from paceline.plans import aggregates, bindings, imports, listings, rankings, texts
+
+#: Modules that register queries when they are imported.
+MODULES = (listings, aggregates, rankings, texts, imports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """The event catalogue: participations of each event, all and a club's."""
+    return bindings.QUERIES["event_catalogue"](spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, bindings.Query]:
+    return dict(bindings.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(bindings.ORACLE)
