@@ -120,8 +120,8 @@ def time_histogram(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT p.course_id, s.label, min((p.id, s.pos)) AS at FROM splits s JOIN parts p ON p.id = s.id WHERE s.seconds IS NOT NULL GROUP BY 1, 2)
-    SELECT course_id, string_agg(label, ',' ORDER BY at) AS keys FROM k GROUP BY course_id"""
+    """WITH k AS (SELECT p.course_id, s.label, min((p.id, s.pos)) AS first_at FROM splits s JOIN parts p ON p.id = s.id WHERE s.seconds IS NOT NULL GROUP BY 1, 2)
+    SELECT course_id, string_agg(label, ',' ORDER BY first_at) AS keys FROM k GROUP BY course_id"""
 )
 def split_keys_first_seen(t: Tables) -> DataFrame:
     return stats.split_keys(t.timed_parts, ["course_id"]).select("course_id", F.array_join("keys", ",").alias("keys"))

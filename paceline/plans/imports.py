@@ -113,7 +113,7 @@ WHERE c.event_type <> o.event_type AND NOT EXISTS (SELECT 1 FROM courses d WHERE
 @query(RECLASS)
 def reclassify_batch(t: Tables) -> DataFrame:
     own = t.sources.select("url", "course_id")
-    of = t.courses.join(own, t.courses["id"] == own["course_id"]).select(
+    of = t.courses.join(own, F.col("id") == F.col("course_id")).select(
         "url", "name", "event_date", "is_relay", F.when(F.col("id") % 2 == 0, F.lit("raid-multisport")).otherwise(F.col("event_type")).alias("event_type")
     )
     return upsert.reclassify(of, t.courses, t.sources)

@@ -12,7 +12,7 @@ from paceline.plans.listings import rows
 TIMED = f"CASE WHEN coalesce(total_time, '') NOT IN ('', '00:00:00') THEN {SECONDS} END"
 #: An event's segments in order of first appearance by rank; every ranked participation has every segment.
 GRID = """f AS (SELECT p.course_id, p.id, p.rank_overall, s.pos, s.label, s.seconds FROM splits s JOIN parts p ON p.id = s.id WHERE p.rank_overall IS NOT NULL),
-l AS (SELECT course_id, label, row_number() OVER (PARTITION BY course_id ORDER BY at) AS pos FROM (SELECT course_id, label, min((rank_overall, id, pos)) AS at FROM f GROUP BY 1, 2)),
+l AS (SELECT course_id, label, row_number() OVER (PARTITION BY course_id ORDER BY first_at) AS pos FROM (SELECT course_id, label, min((rank_overall, id, pos)) AS first_at FROM f GROUP BY 1, 2)),
 who AS (SELECT DISTINCT course_id, id FROM f),
 grid AS (SELECT w.course_id, w.id, l.label, l.pos, f.seconds FROM who w JOIN l ON l.course_id = w.course_id LEFT JOIN f ON f.id = w.id AND f.label = l.label),
 c AS (SELECT *, CASE WHEN count(seconds) OVER u = count(*) OVER u THEN (sum(seconds) OVER u)::BIGINT END AS cumulative FROM grid
@@ -152,8 +152,8 @@ def splits_per_participation(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT p.course_id, s.label, min((p.rank_overall, p.id, s.pos)) AS at FROM splits s JOIN parts p ON p.id = s.id WHERE p.rank_overall IS NOT NULL GROUP BY 1, 2)
-    SELECT course_id, string_agg(label, ',' ORDER BY at) AS keys FROM k GROUP BY course_id"""
+    """WITH k AS (SELECT p.course_id, s.label, min((p.rank_overall, p.id, s.pos)) AS first_at FROM splits s JOIN parts p ON p.id = s.id WHERE p.rank_overall IS NOT NULL GROUP BY 1, 2)
+    SELECT course_id, string_agg(label, ',' ORDER BY first_at) AS keys FROM k GROUP BY course_id"""
 )
 def published_segments(t: Tables) -> DataFrame:
     ranked = t.timed_parts.where("rank_overall IS NOT NULL").withColumn("ranking", F.struct("rank_overall", "id"))
