@@ -14,6 +14,7 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tab, line feed, carriage return and no-break space count as blanks in labels.
 BLANKS = "\t\n\r "
@@ -191,7 +192,7 @@ def identities_differ(a: Column | str, b: Column | str) -> Column:
     return (fold(of(a)) != "") & (fold(of(b)) != "") & (words(a) != words(b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(texts: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252, read right; any other text as it is."""
 
