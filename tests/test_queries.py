@@ -8,7 +8,7 @@ import pytest
 
 from paceline.plans import bindings, catalogue
 
-TABLES = "region nation customer supplier part orders lineitem events pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
 
 
