@@ -70,6 +70,21 @@ def improvement_whatif(t: Tables) -> DataFrame:
     return out.select("course_id", "id", "label", "gain", F.col("place").cast("bigint").alias("place"), F.col("places_won").cast("bigint").alias("places_won"))
 
 
+@query(
+    f"""WITH n AS (SELECT *, rank() OVER (PARTITION BY course_id ORDER BY total) AS place FROM (SELECT course_id, id, {TIMED} AS total FROM parts) WHERE total IS NOT NULL),
+    t AS (SELECT n.course_id, n.id, s.label, g.gain, n.place, n.total * 1000 - s.seconds * g.gain AS v, 0 AS one FROM n JOIN splits s ON s.id = n.id, (SELECT unnest([5, 10, 20, 50, 100, 250]) AS gain) g WHERE s.seconds IS NOT NULL),
+    u AS (SELECT * FROM t UNION ALL SELECT course_id, NULL, NULL, NULL, NULL, total * 1000, 1 FROM n),
+    r AS (SELECT *, coalesce(sum(one) OVER (PARTITION BY course_id ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM u)
+    SELECT course_id, id, label, gain, place, greatest(0, place - (1 + ahead)) AS places_won FROM r WHERE id IS NOT NULL"""
+)
+def improvement_whatif_whole(t: Tables) -> DataFrame:
+    """Over all events, unlike ``improvement_whatif``, whose oracle compares every pair."""
+    totals = timed(t).select("course_id", "id", F.col("seconds").alias("total"))
+    segments = t.segments.where("NOT (label = 't1' AND seconds % 2 = 1)").join(t.parts.select("id", "course_id"), "id")
+    out = ranking.improvement(totals, segments)
+    return out.select("course_id", "id", "label", "gain", F.col("place").cast("bigint").alias("place"), F.col("places_won").cast("bigint").alias("places_won"))
+
+
 @query(
     f"""WITH s AS (SELECT id, course_id, gender, category, {TIMED} AS v FROM shown WHERE lower(status) = 'finisher')
     SELECT id, row_number() OVER (PARTITION BY course_id ORDER BY v, id) AS place, row_number() OVER (PARTITION BY course_id, gender ORDER BY v, id) AS place_gender,
