@@ -142,6 +142,14 @@ def place_of_event(t: Tables) -> DataFrame:
     return t.courses.where("id % 4 IN (1, 3)").select("id", text.place_of("name").alias("place"))
 
 
+@query(
+    "SELECT id, trim(regexp_replace(trim(regexp_replace(name, '\\b20\\d{2}\\b', '', 'g')), '\\btriathlon\\s+(de\\s+)?', '', 'gi')) AS place FROM courses"
+)
+def place_of_event_whole(t: Tables) -> DataFrame:
+    """All courses, with the reference's steps that their names meet: the year goes, then the sport; an edition without the word stays."""
+    return t.courses.select("id", text.place_of("name").alias("place"))
+
+
 FULL = "CASE c_custkey % 5 WHEN 0 THEN 'DE LA TOUR Jean ' || c_name WHEN 1 THEN 'Jean-Luc DE LA TOUR' WHEN 2 THEN 'anne lise ' || c_name WHEN 3 THEN 'JP ROUX' ELSE '' END"
 
 

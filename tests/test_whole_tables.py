@@ -12,3 +12,11 @@ def test_whatif_of_every_event(spark, sf):
     got = QUERIES["improvement_whatif_whole"](spark, sf).select("course_id", "id").distinct().collect()
     assert {(r.course_id, r.id) for r in got} == {(c, i) for i, c in timed.items() if i in of}
     assert max(r.course_id for r in got) > 300
+
+
+def test_place_of_every_course(spark, sf):
+    names = {r.id: r.name for r in bindings.Tables(spark, sf).courses.collect()}
+    got = {r.id: r.place for r in QUERIES["place_of_event_whole"](spark, sf).collect()}
+    assert got.keys() == names.keys()
+    dated = {i: n for i, n in names.items() if n.startswith("5e ")}
+    assert dated and all(got[i] == "5e " + n.removeprefix("5e Triathlon de ")[:-5] for i, n in dated.items())
