@@ -46,6 +46,11 @@ def recent_by_event(t: Tables) -> DataFrame:
     return stats.recent_by_event(of).select("id", F.col("course_date").alias("event_date"))
 
 
+@query("SELECT id, event_date FROM joined ORDER BY coalesce(event_date::VARCHAR, '') DESC, created_at DESC, id DESC LIMIT 8")
+def recent_by_event_whole(t: Tables) -> DataFrame:
+    return stats.recent_by_event(rows(t, include_pending=True)).select("id", F.col("course_date").alias("event_date"))
+
+
 def counters_sql() -> str:
     valid = {c: f"CASE WHEN {c} >= 1 THEN {c} END" for c in ("rank_overall", "rank_category", "rank_gender")}
     ranks = {

@@ -95,6 +95,18 @@ def fill_gaps(t: Tables) -> DataFrame:
     return upsert.fill_gaps(t.parts.where("course_id % 80 = 0"), t.parts.where("course_id = 1"), "course_id", "bib_number", ["club", "category"]).select("id", "club", "category")
 
 
+@query(
+    """WITH k AS (SELECT *, athlete_id || '-' || bib_number AS bib FROM parts),
+    p AS (SELECT *, count(*) OVER (PARTITION BY bib) AS n FROM k WHERE NOT is_pending),
+    h AS (SELECT bib AS b, club AS c, category AS k FROM k WHERE is_pending QUALIFY count(*) OVER (PARTITION BY bib) = 1)
+    SELECT p.id, coalesce(nullif(p.club, ''), h.c, p.club) AS club, coalesce(nullif(p.category, ''), h.k, p.category) AS category FROM p LEFT JOIN h ON h.b = p.bib AND p.n = 1"""
+)
+def fill_gaps_whole(t: Tables) -> DataFrame:
+    """All published rows filled from all pending ones; a bib is an athlete's own, as there are but 60 numbers."""
+    of = t.parts.withColumn("bib_number", F.concat(F.col("athlete_id").cast("string"), F.lit("-"), "bib_number"))
+    return upsert.fill_gaps(of.where("NOT is_pending"), of.where("is_pending"), "course_id", "bib_number", ["club", "category"]).select("id", "club", "category")
+
+
 @query(
     "WITH f AS (SELECT id, name, event_date, CASE WHEN id % 5 = 0 THEN 'raid-multisport' ELSE event_type END AS event_type, is_relay FROM courses WHERE id % 2 = 0) "
     "SELECT DISTINCT name, event_date, event_type, is_relay FROM f WHERE NOT EXISTS (SELECT 1 FROM courses c WHERE c.name = f.name AND c.event_date IS NOT DISTINCT FROM f.event_date AND c.event_type = f.event_type AND c.is_relay = f.is_relay)"

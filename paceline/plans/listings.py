@@ -190,6 +190,16 @@ def left_join_counts(t: Tables) -> DataFrame:
     return catalogue.left_counts(t.athletes.select("id"), t.parts.where("course_id < 40"), "athlete_id")
 
 
+@query("SELECT athlete_id FROM parts GROUP BY athlete_id HAVING count(*) = count(*) FILTER (course_id = 100)")
+def only_on_course_whole(t: Tables) -> DataFrame:
+    return catalogue.only_on_course(t.parts, 100)
+
+
+@query("SELECT a.id, count(p.id) AS n FROM athletes a LEFT JOIN parts p ON p.athlete_id = a.id GROUP BY a.id")
+def left_join_counts_whole(t: Tables) -> DataFrame:
+    return catalogue.left_counts(t.athletes.select("id"), t.parts, "athlete_id")
+
+
 @query(
     f"""SELECT c.id, coalesce(s.url, '') AS source_url, coalesce(s.provider, '') AS provider, coalesce(n.total, 0) AS total, coalesce(n.club_count, 0)::BIGINT AS club_count
     FROM courses c LEFT JOIN sources s ON s.course_id = c.id AND s.is_active

@@ -20,3 +20,20 @@ def test_place_of_every_course(spark, sf):
     assert got.keys() == names.keys()
     dated = {i: n for i, n in names.items() if n.startswith("5e ")}
     assert dated and all(got[i] == "5e " + n.removeprefix("5e Triathlon de ")[:-5] for i, n in dated.items())
+
+
+def test_whole_tables_of_listings(spark, sf):
+    parts = bindings.Tables(spark, sf).parts.collect()
+    assert sum(r.n for r in QUERIES["left_join_counts_whole"](spark, sf).collect()) == len(parts)
+    assert {r.id for r in QUERIES["fill_gaps_whole"](spark, sf).collect()} == {r.id for r in parts if not r.is_pending}
+    elsewhere = {r.athlete_id for r in parts if r.course_id != 100}
+    only = {r.athlete_id for r in parts} - elsewhere
+    assert {r.athlete_id for r in QUERIES["only_on_course_whole"](spark, sf).collect()} == only
+    assert QUERIES["recent_by_event_whole"](spark, sf).count() == 8
+
+
+def test_only_on_course_of_a_few(spark):
+    from paceline.operators.catalogue import only_on_course
+
+    of = spark.createDataFrame([(1, 100), (1, 100), (2, 100), (2, 7), (3, 7)], "athlete_id long, course_id long")
+    assert [r.athlete_id for r in only_on_course(of, 100).collect()] == [1]
