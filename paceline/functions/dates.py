@@ -67,14 +67,27 @@ def iso_date(c: Column | str) -> Column:
 
 
 def written_date(c: Column | str) -> Column:
-    """The first day of ``16 mai 2026``, ``16–17 mai 2026`` or ``12 avr. 2026``; null if there is none or no such day."""
-    text = F.translate(F.lower(deaccent(c)), "–—", "--")
-    months = "|".join(sorted(MONTHS, key=len, reverse=True))
-    rule = rf"(\d{{1,2}})(?:[\s\-/]+\d{{1,2}})?\s+({months})\.?\s+(\d{{4}})"
-    number = F.create_map(*(F.lit(x) for x in chain.from_iterable((k, f"{m:02d}") for k, m in MONTHS.items())))
-    day, month, year = (F.regexp_extract(text, rule, k) for k in (1, 2, 3))
-    iso = F.concat_ws("-", year, F.coalesce(F.try_element_at(number, month), F.lit("")), F.lpad(day, 2, "0"))
-    return F.when(month != "", F.try_to_date(iso, "yyyy-MM-dd"))
+    """The first day of ``16 mai 2026``, ``16–17 mai 2026`` or ``12 avr. 2026``; null if there is none or no such day.
+
+    Word by word: a month stands between a day, or two, and a year.
+    """
+    number = F.create_map(*(F.lit(x) for x in chain.from_iterable(MONTHS.items())))
+    joined = F.regexp_replace(F.lower(deaccent(c)), r"\s*[-–—/]\s*", "-")
+    words = F.split(F.trim(joined), r"\s+")
+    word = lambda k: F.coalesce(F.try_element_at(words, k), F.lit(""))
+
+    def day_at(k: Column) -> Column:
+        """The date whose month is word ``k``, in figures; null if its neighbours don't fit."""
+        month = F.try_element_at(number, F.rtrim(word(k), F.lit(".")))
+        one_before = F.when(k > 2, word(F.greatest(k - 2, F.lit(1)))).otherwise(F.lit(""))
+        days = F.when(one_before.rlike(r"\d$"), F.concat(one_before, F.lit("-"), word(k - 1))).otherwise(word(k - 1))
+        day = F.regexp_extract(days, r"(\d{1,2})(?:-\d{1,2})?$", 1)
+        year = F.regexp_extract(word(k + 1), r"^\d{4}", 0)
+        return F.when(month.isNotNull() & (day != "") & (year != ""), F.concat_ws("-", year, month, day))
+
+    places = F.when(F.size(words) > 2, F.sequence(F.lit(2), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    found = F.filter(F.transform(places, day_at), lambda x: x.isNotNull())
+    return F.try_to_date(F.try_element_at(found, F.lit(1)), "yyyy-M-d")
 
 
 def any_date(c: Column | str) -> Column:
