@@ -1,19 +1,19 @@
 """Exact substring removal with suffix arrays.
 
-Every byte that lies in a string of ``length`` bytes which also starts earlier goes. Sorting all
-suffixes of a corpus against each other would move each byte many times, so the work is narrowed
-first, in a way that can't lose a match:
+Every byte that lies in a string of ``length`` bytes which also starts earlier goes.
 
-1. Anchors. Each ``length``-byte window is anchored at the smallest hash of a ``SEED_BYTES``-byte
+1. Shards. A shard is about ``SHARD_BYTES`` of text, made where the documents are read. It gets a suffix array
+   (Larsson-Sadakane rounds) and common prefixes (Kasai); windows that share ``length`` bytes stand
+   together there, and all but the earliest are removed. What is left of a shard has each string once.
+2. Anchors. To merge shards, strings that can match must meet without moving every suffix. Each window left is anchored at the smallest hash of a ``SEED_BYTES``-byte
    string in it. Equal windows have equal anchors at equal offsets, and the windows of an anchor
-   are a run. A row per run (2.7 % of the bytes) goes to a shuffle on the anchor's hash.
-2. Classes. Runs with the same bytes form a class; all but the earliest are removed. An anchor
+   are a run. A row per run (2.7 % of the bytes) goes to a shuffle on the anchor's hash; a passage that is everywhere leaves a row per shard.
+   Runs with the same bytes form a class; all but the earliest are removed. An anchor
    with one class is done.
-3. Shards. Of each class of the other anchors the earliest run's bytes (at most 168) are cut out
-   and shuffled by anchor, so that all strings that can match meet in one shard. A shard gets a
-   suffix array (Larsson-Sadakane rounds) and common prefixes (Kasai); windows that share
-   ``length`` bytes stand together there, and all but the earliest are removed.
-4. An anchor with very many classes would overfill a shard: its windows are shuffled by a 128-bit
+3. Merging. Of each class of the other anchors the earliest run's bytes (at most 168) are cut out
+   and shuffled by anchor. The suffix arrays of the runs are merged: the sorted windows of the one are found among those of the others by
+   binary search, and all but the earliest are removed.
+4. An anchor with very many classes would overfill a task: its windows are shuffled by a 128-bit
    digest instead, with the minimum taken before and after the shuffle.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,8 @@ from paceline.llm.suffixes import common_prefixes, suffix_order
 LENGTH, SEED_BYTES = 100, 32
 #: Bytes hashed at once; a window's anchor must lie in one such piece, so pieces overlap.
 PIECE_BITS = 17
-#: Bytes of a shard, and classes beyond which an anchor's windows are shuffled by digest.
-SHARD_BYTES, CLASSES = 1 << 20, 2000
+#: Bytes of a shard, bytes of runs that are merged at once (and of a part of them with its own suffix array), and classes beyond which an anchor's windows are shuffled by digest.
+SHARD_BYTES, MERGE_BYTES, PART_BYTES, CLASSES = 1 << 20, 1 << 18, 1 << 16, 2000
 NO_ID = -(1 << 63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -65,11 +66,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[: n - width + 1], upto[width - 1 : n])
 
 
-def runs(data: np.ndarray, ends: np.ndarray, of: tuple, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, ends: np.ndarray, alive: np.ndarray, of: tuple, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchored runs of one piece: hash of the anchor, hash of the run's bytes, first window, windows less one.
 
     ``data`` holds whole strings one after the other and ``ends`` where they end; windows that
-    would cross an end aren't there.
+    would cross an end aren't there, nor those that aren't ``alive`` at their first byte.
     """
     table, power, inverse = of
     n, k = len(data), SEED_BYTES
@@ -80,6 +81,7 @@ def runs(data: np.ndarray, ends: np.ndarray, of: tuple, length: int = LENGTH) ->
     place = np.uint64((1 << PIECE_BITS) - 1)
     least = sliding_min((seed & ~place) | np.arange(len(seed), dtype=np.uint64), length - k + 1)
     whole = np.repeat(ends, np.diff(np.r_[0, ends]))[: len(least)] - np.arange(len(least)) >= length
+    whole &= alive[: len(least)]
     first = whole & np.r_[True, (least[1:] != least[:-1]) | ~whole[:-1]]
     last = whole & np.r_[(least[1:] != least[:-1]) | ~whole[1:], True]
     a, b = np.flatnonzero(first), np.flatnonzero(last)
@@ -89,25 +91,48 @@ def runs(data: np.ndarray, ends: np.ndarray, of: tuple, length: int = LENGTH) ->
     return seed[anchor], run_hash, a, b - a
 
 
-def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """``(anchor, class, d, tie, span)`` for every run; ``span`` packs first window and windows less one."""
+def anchored(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """``(deal, gone, anchor, class, d, tie, span)``: what goes within a shard, and every run of what is left; ``span`` packs first window and windows less one."""
     piece = 1 << PIECE_BITS
+    names = ["deal", "gone", "anchor", "class", "d", "tie", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tables()
         held: list[tuple[int, int, int, bytes]] = []
 
-        def flush() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
-            ends = np.cumsum([len(x[3]) for x in held])
-            key, cls, a, more = runs(data, ends, of, length)
+        def left(part: list[tuple[int, int, int, bytes]], later: np.ndarray) -> pa.RecordBatch:
+            data = np.frombuffer(b"".join(x[3] for x in part), np.uint8)
+            ends = np.cumsum([len(x[3]) for x in part])
+            alive = np.zeros(len(data), bool)
+            at = 0
+            for x, end in zip(part, ends.tolist(), strict=True):
+                n = len(x[3]) - length + 1
+                alive[end - len(x[3]) : end - length + 1] = ~later[at : at + n]
+                at += n
+            key, cls, a, more = runs(data, ends, alive, of, length)
             string = np.searchsorted(ends, a, side="right")
-            begin = np.r_[0, ends[:-1]] - np.array([x[2] for x in held])
-            d, tie = (np.array([x[i] for x in held], np.int64)[string] for i in (0, 1))
+            begin = np.r_[0, ends[:-1]] - np.array([x[2] for x in part])
+            d, tie = (np.array([x[i] for x in part], np.int64)[string] for i in (0, 1))
             span = ((a - begin[string]) << 8) | more
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (key.view(np.int64), cls.view(np.int64), d, tie, span)], ["anchor", "class", "d", "tie", "span"]
-            )
+            key = key.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, np.zeros(len(a), bool), key, cls.view(np.int64), d, tie, span)], names)
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            d, tie, start = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            later, _ = windows_of([x[3] for x in held], d, tie, start, length)
+            gone = spans_of(later, d, tie, start, np.array([len(x[3]) - length + 1 for x in held]))
+            n, d = gone.num_rows, gone.column(0).to_numpy()
+            none = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(d.view(np.uint64)).view(np.int64)), pa.array(np.ones(n, bool)), none, none, *gone.columns], names)
+            part, size, at, seen = [], 0, 0, 0
+            for x in [*held, None]:
+                if x is None or size + len(x[3]) > piece:
+                    yield left(part, later[at:seen])
+                    part, size, at = [], 0, seen
+                if x is not None:
+                    part.append(x)
+                    size += len(x[3])
+                    seen += len(x[3]) - length + 1
 
         size = 0
         for b in batches:
@@ -115,29 +140,33 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 at = 0
                 while data and len(data) - at >= length:
                     part = data[at : at + piece]
-                    if size + len(part) > piece:
-                        yield flush()
+                    if held and size + len(part) > shard_bytes:
+                        yield from shard()
                         held, size = [], 0
                     held.append((d, tie, at, part))
                     size += len(part)
                     at += piece - length + 1
         if held:
-            yield flush()
+            yield from shard()
 
-    return docs.select("d", "tie", "data").mapInArrow(run, "anchor long, class long, d long, tie long, span long")
+    return docs.select("d", "tie", "data").mapInArrow(run, "deal long, gone boolean, anchor long, class long, d long, tie long, span long")
 
 
 def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows ordered by anchor, class, id and span: which runs are removed, and first runs of classes that share their anchor.
 
-    Goes through any number of rows of one anchor with the last row and one first run in memory.
+    Rows of what is gone already are passed on. Goes through any number of rows of one anchor with the last row and one first run in memory.
     """
     names = ["first", "anchor", "d", "tie", "span"]
     before: list[int] | None = None  # the last row seen
     lead: list[int] | None = None  # first run of its class
     only: list[int] | None = None  # lead, while its class is the only one of its anchor
     for b in batches:
-        c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+        gone = b.filter(b.column(1))
+        if gone.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(gone.num_rows, bool)), *(gone.column(i) for i in (2, 4, 5, 6))], names)
+            b = b.filter(pc.invert(b.column(1)))
+        c = [x.to_numpy(zero_copy_only=False) for x in b.columns[2:]]
         if not len(c[0]):
             continue
         if before is not None:
@@ -173,8 +202,8 @@ def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None if told else lead
 
 
-def windows_of(contexts: list[bytes], d: np.ndarray, tie: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """For the windows of all strings, one string after the other: is the window's string also at an earlier place?
+def windows_of(contexts: list[bytes], d: np.ndarray, tie: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of all strings, one string after the other: is the window's string also at an earlier place? And all windows, sorted.
 
     ``d, tie, start`` place the first window of each string in the corpus.
     """
@@ -186,55 +215,90 @@ def windows_of(contexts: list[bytes], d: np.ndarray, tie: np.ndarray, start: np.
     inside[begin + sizes] = False
     s[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int32) + 1
     order = suffix_order(s)
-    group = np.cumsum(common_prefixes(s, order) < length)
+    group = np.cumsum(common_prefixes(s, order, length) < length)
     count = sizes - length + 1
     string = np.repeat(np.arange(len(contexts)), count)
     within = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
     of = np.zeros(n, np.int64)
     of[order] = group
     of = of[begin[string] + within]
-    place = np.lexsort((start[string] + within, tie[string], d[string], of))
-    head = np.r_[True, of[place][1:] != of[place][:-1]]
-    first = place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
+    window = np.full(n, -1, np.int64)
+    window[begin[string] + within] = np.arange(len(string))
+    by_content = window[order]
+    by_content = by_content[by_content >= 0]
     later = np.zeros(len(string), bool)
-    same = (d[string][place] == d[string][first]) & (tie[string][place] == tie[string][first]) & ((start[string] + within)[place] == (start[string] + within)[first])
-    later[place] = ~same
-    return later
+    again = np.flatnonzero(np.bincount(of, minlength=1)[of] > 1)
+    string, at, of = string[again], start[string[again]] + within[again], of[again]
+    place = np.lexsort((at, tie[string], d[string], of))
+    head = np.diff(of[place], prepend=-1) != 0
+    first = place[np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))]
+    same = (d[string][place] == d[string][first]) & (tie[string][place] == tie[string][first]) & (at[place] == at[first])
+    later[again[place]] = ~same
+    return later, by_content
 
 
 def spans_of(later: np.ndarray, d: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """Runs of removed windows as ``(d, tie, span)``."""
     string = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-    first = later & np.r_[True, ~later[:-1] | (string[1:] != string[:-1])]
-    last = later & np.r_[~later[1:] | (string[1:] != string[:-1]), True]
+    # a span holds at most 256 windows
+    first = later & (np.r_[True, ~later[:-1] | (string[1:] != string[:-1])] | (within % 256 == 0))
+    last = later & (np.r_[~later[1:] | (string[1:] != string[:-1]), True] | (within % 256 == 255))
     a, b = np.flatnonzero(first), np.flatnonzero(last)
     span = ((start[string[a]] + within[a]) << 8) | (b - a)
     return pa.RecordBatch.from_arrays([pa.array(d[string[a]]), pa.array(tie[string[a]]), pa.array(span)], ["d", "tie", "span"])
 
 
-def shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Over rows (anchor, d, tie, start, bytes) ordered by anchor: whole anchors fill a shard, each shard has its suffix array."""
+def merge(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """What goes among runs ``(anchor, d, tie, start, bytes)`` of whole anchors.
+
+    The runs stand in the order of their places and are cut into parts; each part has its suffix array. The windows that a part keeps are searched,
+    sorted as they are, among the sorted windows of the parts before: what is found there is at an earlier place, and the rest is put in.
+    """
+    rows = sorted(rows, key=lambda r: r[1:4])
+    rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # repeated rows
+    _, d, tie, start, data = zip(*rows, strict=True)
+    d, tie, start = (np.array(x, np.int64) for x in (d, tie, start))
+    count = np.array([len(x) - length + 1 for x in data], np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum([len(x) for x in data]) // PART_BYTES)) + 1
+    known, gone = np.zeros(0, f"S{length}"), []
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
+        later, by_content = windows_of(list(data[a:b]), d[a:b], tie[a:b], start[a:b], length)
+        if len(cut):
+            kept = by_content[~later[by_content]]
+            begin = np.cumsum([0, *(len(x) for x in data[a : b - 1])])
+            at = np.repeat(begin, count[a:b]) + np.arange(len(later)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+            views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data[a:b]), np.uint8), length)
+            strings = np.ascontiguousarray(views[at[kept]]).view(known.dtype).ravel()
+            place = np.searchsorted(known, strings)
+            found = np.zeros(len(strings), bool)
+            there = place < len(known)
+            found[there] = known[place[there]] == strings[there]
+            later[kept[found]] = True
+            known = np.insert(known, place[~found], strings[~found])
+        gone.append(later)
+    return spans_of(np.concatenate(gone), d, tie, start, count)
+
+
+def merges(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (anchor, d, tie, start, bytes) ordered by anchor: whole anchors are merged, about ``merge_bytes`` at once."""
     held: list[tuple] = []
     size = 0
-
-    def flush() -> pa.RecordBatch:
-        _, d, tie, start, data = zip(*held, strict=True)
-        d, tie, start = (np.array(x, np.int64) for x in (d, tie, start))
-        return spans_of(windows_of(list(data), d, tie, start, length), d, tie, start, np.array([len(x) - length + 1 for x in data]))
-
     for b in batches:
         for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if size >= SHARD_BYTES and row[0] != held[-1][0]:
-                yield flush()
+            if size >= merge_bytes and row[0] != held[-1][0]:
+                yield merge(held, length)
                 held, size = [], 0
             held.append(row)
             size += len(row[4])
     if held:
-        yield flush()
+        yield merge(held, length)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+    shard_bytes: int = SHARD_BYTES, merge_bytes: int = MERGE_BYTES, crowded: int = CLASSES,
+) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (removed byte ranges ``[begin, end)``), ``kept`` (bytes) for every row of ``docs``.
 
     A null or shorter text loses nothing. Earlier means a smaller id, or an earlier start in the
@@ -251,8 +315,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     keyed = read.select(
         "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), (F.xxhash64("data") if repeated else F.lit(0).cast("long")).alias("tie"), "data"
     )
-    order = ["anchor", "class", "d", "tie", "span"]
-    sorted_runs = anchored(keyed, length).repartition("anchor").sortWithinPartitions(*order)
+    order = ["gone", "anchor", "class", "d", "tie", "span"]
+    sorted_runs = anchored(keyed, length, shard_bytes).repartition("deal").sortWithinPartitions(*order)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = staged(sorted_runs.mapInArrow(classes, "first boolean, anchor long, d long, tie long, span long"))
     small_batches(spark)
@@ -264,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), data], ["doc_id", "d", "tie", "packed"])
 
     packed = keyed.mapInArrow(pack, "doc_id long, d long, tie long, packed binary")
-    gone = found.where("NOT first").select("d", "tie", "span").unionByName(between_classes(found.where("first"), packed, length))
+    gone = found.where("NOT first").select("d", "tie", "span").unionByName(between_classes(found.where("first"), packed, length, merge_bytes, crowded))
     gone = gone.groupBy("d", "tie").agg(F.collect_list("span").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +353,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return whole.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
 
 
-def between_classes(first: DataFrame, packed: DataFrame, length: int) -> DataFrame:
+def between_classes(first: DataFrame, packed: DataFrame, length: int, merge_bytes: int, classes: int) -> DataFrame:
     """``(d, tie, span)`` of windows that also occur in another class of their anchor, at an earlier place."""
-    crowded = first.groupBy("anchor").count().where(F.col("count") > CLASSES).select("anchor", F.lit(True).alias("crowded"))
+    crowded = first.groupBy("anchor").count().where(F.col("count") > classes).select("anchor", F.lit(True).alias("crowded"))
     told = first.join(crowded, "anchor", "left")
     of = told.groupBy("d", "tie").agg(F.collect_list(F.struct("anchor", "span", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("runs"))
     # one copy of repeated rows is enough
@@ -312,7 +376,7 @@ def between_classes(first: DataFrame, packed: DataFrame, length: int) -> DataFra
 
     contexts = staged(texts.mapInArrow(cut, "crowded boolean, anchor long, d long, tie long, start long, data binary"), "lz4")
     normal = contexts.where("NOT crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor")
-    by_shard = normal.mapInArrow(lambda batches: shards(batches, length), "d long, tie long, span long")
+    merged = normal.mapInArrow(lambda batches: merges(batches, length, merge_bytes), "d long, tie long, span long")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,7 +391,7 @@ def between_classes(first: DataFrame, packed: DataFrame, length: int) -> DataFra
     place = F.struct("d", "tie", "start")
     least = windows.groupBy("h1", "h2").agg(F.min(place).alias("least"))
     by_digest = windows.join(least, ["h1", "h2"]).where(place > F.col("least")).select("d", "tie", F.shiftleft("start", 8).alias("span"))
-    return by_shard.unionByName(by_digest)
+    return merged.unionByName(by_digest)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

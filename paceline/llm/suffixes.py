@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Stretches of a sequence whose common prefixes are found side by side.
-LANES = 2048
+#: Length of the stretches of a sequence whose common prefixes are found side by side.
+LANE = 64
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
         part[: max(0, n - k)] = s[k:]
         live &= part > 0
         key = (key << np.uint64(bits)) | np.where(live, part, np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     rank = np.empty(n, np.int64)
     start = np.r_[True, key[1:] != key[:-1]]
@@ -52,7 +52,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
             return order
         p = order[at]
         nxt = np.where(upto[p] - p < depth, rank[upto[p]], rank[np.minimum(p + depth, n - 1)])
-        again = np.lexsort((nxt, sorted_rank[at]))
+        again = np.argsort((sorted_rank[at] << 32) | nxt)  # ranks are places, far below 2^31
         p, group, nxt = p[again], sorted_rank[at][again], nxt[again]
         order[at] = p
         start = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
@@ -60,8 +60,8 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For every place of ``order``: symbols that its suffix shares with the one before it, up to a separator.
+def common_prefixes(s: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+    """For every place of ``order``: symbols that its suffix shares with the one before it, up to a separator and to ``limit``.
 
     Kasai's rule: a suffix shares at least one symbol less with its neighbour than the suffix that starts one
     symbol earlier does. ``s`` is cut into lanes that walk side by side, each by that rule.
@@ -70,21 +70,23 @@ def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    step = -(-n // LANES)
+    step = max(1, min(LANE, n // 64))
     at = np.arange(0, n, step)
-    upto = np.minimum(at + step, n)
     shared = np.zeros(len(at), np.int64)
-    padded = np.r_[s, 0]
+    padded = np.concatenate([s, np.zeros(limit + 1, s.dtype)])
     for k in range(step):
-        go = at + k < upto
-        i = (at + k)[go]
-        j, h = before[i], np.maximum(shared[go] - 1, 0)
-        h[j < 0] = 0
+        i = at + k
+        if i[-1] >= n:
+            at, shared, i = at[:-1], shared[:-1], i[:-1]
+        j, h = before[i], np.maximum(shared - 1, 0)
         left = np.flatnonzero(j >= 0)
+        h[j < 0] = 0
+        x, y = i[left] + h[left], j[left] + h[left]
         while len(left):
-            one = padded[i[left] + h[left]]
-            left = left[(one == padded[j[left] + h[left]]) & (one != 0)]
-            h[left] += 1
-        out[i] = h
-        shared[go] = h
+            one = padded[x]
+            same = (one == padded[y]) & (one != 0)
+            h[left] += same
+            same &= h[left] < limit
+            left, x, y = left[same], x[same] + 1, y[same] + 1
+        out[i] = shared = h
     return out[order]

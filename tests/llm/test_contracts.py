@@ -156,6 +156,25 @@ def test_repeated_substrings(spark, sf, documents):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected
 
 
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 2000, "merge_bytes": 1 << 20}, {"shard_bytes": 2000, "crowded": 1}])
+def test_repeated_substrings_across_shards(spark, sizes):
+    """Lines that many texts share, nested and overlapping, in shards of a few texts; NUL bytes among them."""
+    from paceline.llm import suffix_dedup
+
+    rng = np.random.default_rng(7)
+    line = lambda n: "".join(chr(c) for c in rng.integers(0, 4, n))
+    lines = [line(n) for n in (60, 99, 100, 130, 400, 3000)]
+    texts = {}
+    for d in range(900):
+        parts = [lines[int(k)][int(a) : int(a) + 500] for k, a in zip(rng.integers(0, 6, 3), rng.integers(0, 120, 3), strict=True)]
+        texts[d] = (line(int(rng.integers(0, 300))).join(parts), None)
+    docs = spark.createDataFrame([(d, x) for d, (x, _) in texts.items()], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, **sizes).collect()}
+    for d, (n, n_gone, n_spans, kept) in without_repeats(texts).items():
+        r = got[d]
+        assert (r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == (n, n_gone, n_spans, kept), d
+
+
 def test_near_passages_find_planted_ones(spark):
     from paceline.llm import passages
 
