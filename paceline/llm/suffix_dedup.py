@@ -11,8 +11,8 @@ Every byte that lies in a string of ``length`` bytes which also starts earlier g
    Runs with the same bytes form a class; all but the earliest are removed. An anchor
    with one class is done.
 3. Merging. Of each class of the other anchors the earliest run's bytes (at most 168) are cut out
-   and shuffled by anchor. The suffix arrays of the runs are merged: the sorted windows of the one are found among those of the others by
-   binary search, and all but the earliest are removed.
+   and shuffled by anchor. They stand in the order of their places, in parts with a suffix array each, and a part's windows are
+   looked up among the sorted windows of the parts before by binary search.
 4. An anchor with very many classes would overfill a task: its windows are shuffled by a 128-bit
    digest instead, with the minimum taken before and after the shuffle.
 """
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.common import bytes_of, small_batches, staged
-from paceline.llm.suffixes import common_prefixes, suffix_order
+from paceline.llm.suffixes import common_prefixes, sorted_suffixes
 
 LENGTH, SEED_BYTES = 100, 32
 #: Bytes hashed at once; a window's anchor must lie in one such piece, so pieces overlap.
 PIECE_BITS = 17
 #: Bytes of a shard, bytes of runs that are merged at once (and of a part of them with its own suffix array), and classes beyond which an anchor's windows are shuffled by digest.
-SHARD_BYTES, MERGE_BYTES, PART_BYTES, CLASSES = 1 << 20, 1 << 18, 1 << 16, 2000
+SHARD_BYTES, MERGE_BYTES, PART_BYTES, CLASSES = 1 << 18, 1 << 18, 1 << 16, 2000
 NO_ID = -(1 << 63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +66,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(onward[: n - width + 1], upto[width - 1 : n])
 
 
+def window_hashes(data: np.ndarray, of: tuple, length: int) -> np.ndarray:
+    table, power, inverse = of
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * inverse[: len(data) - length + 1])
+
+
 def runs(data: np.ndarray, ends: np.ndarray, alive: np.ndarray, of: tuple, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchored runs of one piece: hash of the anchor, hash of the run's bytes, first window, windows less one.
 
@@ -214,8 +221,8 @@ def windows_of(contexts: list[bytes], d: np.ndarray, tie: np.ndarray, start: np.
     inside = np.ones(n, bool)
     inside[begin + sizes] = False
     s[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int32) + 1
-    order = suffix_order(s)
-    group = np.cumsum(common_prefixes(s, order, length) < length)
+    order, same, known = sorted_suffixes(s, length)
+    group = np.cumsum(common_prefixes(s, order, same, known, length) < length)
     count = sizes - length + 1
     string = np.repeat(np.arange(len(contexts)), count)
     within = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
@@ -249,33 +256,39 @@ def spans_of(later: np.ndarray, d: np.ndarray, tie: np.ndarray, start: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(d[string[a]]), pa.array(tie[string[a]]), pa.array(span)], ["d", "tie", "span"])
 
 
-def merge(rows: list[tuple], length: int) -> pa.RecordBatch:
+def merge(rows: list[tuple], of: tuple, length: int) -> pa.RecordBatch:
     """What goes among runs ``(anchor, d, tie, start, bytes)`` of whole anchors.
 
-    The runs stand in the order of their places and are cut into parts; each part has its suffix array. The windows that a part keeps are searched,
-    sorted as they are, among the sorted windows of the parts before: what is found there is at an earlier place, and the rest is put in.
+    The runs stand in the order of their places and are cut into parts; each part has its suffix array. The windows that a part keeps are looked up by
+    binary search among the sorted windows of the parts before (sorted by hash, and compared byte by byte where one is found): what is there is at an
+    earlier place, and the rest is put in.
     """
     rows = sorted(rows, key=lambda r: r[1:4])
     rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # repeated rows
     _, d, tie, start, data = zip(*rows, strict=True)
     d, tie, start = (np.array(x, np.int64) for x in (d, tie, start))
-    count = np.array([len(x) - length + 1 for x in data], np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum([len(x) for x in data]) // PART_BYTES)) + 1
-    known, gone = np.zeros(0, f"S{length}"), []
+    sizes = np.array([len(x) for x in data], np.int64)
+    count, begin = sizes - length + 1, np.cumsum(sizes) - sizes
+    cut = np.flatnonzero(np.diff((begin + sizes) // PART_BYTES)) + 1
+    text = np.frombuffer(b"".join(data), np.uint8)
+    known, place_of, gone = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
         later, by_content = windows_of(list(data[a:b]), d[a:b], tie[a:b], start[a:b], length)
         if len(cut):
             kept = by_content[~later[by_content]]
-            begin = np.cumsum([0, *(len(x) for x in data[a : b - 1])])
-            at = np.repeat(begin, count[a:b]) + np.arange(len(later)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
-            views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data[a:b]), np.uint8), length)
-            strings = np.ascontiguousarray(views[at[kept]]).view(known.dtype).ravel()
-            place = np.searchsorted(known, strings)
-            found = np.zeros(len(strings), bool)
-            there = place < len(known)
-            found[there] = known[place[there]] == strings[there]
-            later[kept[found]] = True
-            known = np.insert(known, place[~found], strings[~found])
+            at = np.repeat(begin[a:b] - np.cumsum(count[a:b]) + count[a:b], count[a:b])[kept] + kept
+            key = window_hashes(text[begin[a] : begin[b - 1] + sizes[b - 1]], of, length)[at - begin[a]]
+            order = np.argsort(key)
+            kept, at, key = kept[order], at[order], key[order]
+            place = np.searchsorted(known, key)
+            maybe = np.flatnonzero(place < len(known))
+            maybe = maybe[known[place[maybe]] == key[maybe]]
+            views = np.lib.stride_tricks.sliding_window_view(text, length)
+            maybe = maybe[(views[at[maybe]] == views[place_of[place[maybe]]]).all(axis=1)]
+            later[kept[maybe]] = True
+            new = np.ones(len(key), bool)
+            new[maybe] = False
+            known, place_of = np.insert(known, place[new], key[new]), np.insert(place_of, place[new], at[new])
         gone.append(later)
     return spans_of(np.concatenate(gone), d, tie, start, count)
 
@@ -283,16 +296,16 @@ def merge(rows: list[tuple], length: int) -> pa.RecordBatch:
 def merges(batches: Iterator[pa.RecordBatch], length: int, merge_bytes: int) -> Iterator[pa.RecordBatch]:
     """Over rows (anchor, d, tie, start, bytes) ordered by anchor: whole anchors are merged, about ``merge_bytes`` at once."""
     held: list[tuple] = []
-    size = 0
+    size, of = 0, tables()
     for b in batches:
         for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
             if size >= merge_bytes and row[0] != held[-1][0]:
-                yield merge(held, length)
+                yield merge(held, of, length)
                 held, size = [], 0
             held.append(row)
             size += len(row[4])
     if held:
-        yield merge(held, length)
+        yield merge(held, of, length)
 
 
 def remove_repeats(

@@ -20,73 +20,106 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     the others are sorted by the rank of the suffix that starts where the compared symbols end, so
     that the number of symbols compared doubles.
     """
+    return sorted_suffixes(s, 0)[0]
+
+
+def sorted_suffixes(s: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """``suffix_order``; which places have the same first symbols as the place before; how many symbols these are, at most ``limit`` (or 0)."""
     n = len(s)
     ends = np.flatnonzero(s == 0)
-    bits = max(1, int(s.max()).bit_length())
-    first = max(1, min(62 // bits, 8))
-    key = np.zeros(n, np.uint64)
-    live = np.ones(n, bool)
-    for k in range(first):
-        part = np.zeros(n, np.uint64)
-        part[: max(0, n - k)] = s[k:]
-        live &= part > 0
-        key = (key << np.uint64(bits)) | np.where(live, part, np.uint64(0))
+    # small alphabets get small numbers, so that a key holds more symbols
+    used = np.flatnonzero(np.bincount(s)[1:]) + 1
+    number = np.zeros(int(s.max(initial=0)) + 1, np.uint64)
+    number[used] = np.arange(1, len(used) + 1, dtype=np.uint64)
+    bits = np.uint64(max(1, len(used).bit_length()))
+    first = max(1, min(62 // int(bits), 12))
+    symbols = np.concatenate([number[s], np.zeros(first, np.uint64)])
+    key = symbols[:n].copy()
+    live = key > 0
+    for k in range(1, first):
+        key <<= bits
+        live &= symbols[k : n + k] > 0
+        key |= np.where(live, symbols[k : n + k], np.uint64(0))
     order = np.argsort(key)
     key = key[order]
+    start = np.empty(n, bool)
+    start[:1] = True
+    np.not_equal(key[1:], key[:-1], out=start[1:])
+    places = np.arange(n)
     rank = np.empty(n, np.int64)
-    start = np.r_[True, key[1:] != key[:-1]]
-    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(start, places, 0))
     rank[ends] = np.arange(len(ends))
     order[: len(ends)] = ends
-    depth = first
+    start[: len(ends)] = True
     # suffixes that ended within the symbols compared so far tie by their separator's place
     upto = np.full(n, n, np.int64)
     upto[ends] = ends
     upto = np.minimum.accumulate(upto[::-1])[::-1]
+    depth, known, same = first, 0, np.zeros(n, bool)
+    group = ~start
+    group[:-1] |= ~start[1:]
+    at = np.flatnonzero(group)
+    start = start[at]
     while True:
-        sorted_rank = rank[order]
-        shared = np.r_[False, sorted_rank[1:] == sorted_rank[:-1]]
-        shared |= np.r_[shared[1:], False]
-        at = np.flatnonzero(shared)
+        if depth <= limit:
+            known, same = depth, np.zeros(n, bool)
+            same[at] = ~start & (upto[order[at]] - order[at] >= depth)
         if not len(at):
-            return order
+            return order, same, known
         p = order[at]
-        nxt = np.where(upto[p] - p < depth, rank[upto[p]], rank[np.minimum(p + depth, n - 1)])
-        again = np.argsort((sorted_rank[at] << 32) | nxt)  # ranks are places, far below 2^31
-        p, group, nxt = p[again], sorted_rank[at][again], nxt[again]
+        last = upto[p]
+        nxt = rank[np.where(last - p < depth, last, np.minimum(p + depth, n - 1))]
+        head = rank[p]
+        pair = (head << 32) | nxt  # ranks are places, far below 2^31
+        again = np.argsort(pair)
+        pair, p = pair[again], p[again]
         order[at] = p
-        start = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
+        start = np.empty(len(at), bool)
+        start[0] = True
+        np.not_equal(pair[1:], pair[:-1], out=start[1:])
         rank[p] = np.maximum.accumulate(np.where(start, at, 0))
+        left = ~start
+        left[:-1] |= ~start[1:]
+        at, start = at[left], start[left]
         depth *= 2
 
 
-def common_prefixes(s: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """For every place of ``order``: symbols that its suffix shares with the one before it, up to a separator and to ``limit``.
+def common_prefixes(s: np.ndarray, order: np.ndarray, same: np.ndarray, known: int, limit: int) -> np.ndarray:
+    """For every place of ``order``: symbols that its suffix shares with the one before it, up to a separator and to ``limit``; 0 where not ``same``.
 
     Kasai's rule: a suffix shares at least one symbol less with its neighbour than the suffix that starts one
-    symbol earlier does. ``s`` is cut into lanes that walk side by side, each by that rule.
+    symbol earlier does. Positions that share ``known`` symbols with their neighbour are taken in lanes of
+    consecutive ones, which walk side by side, each by that rule.
     """
-    n = len(s)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
-    step = max(1, min(LANE, n // 64))
-    at = np.arange(0, n, step)
-    shared = np.zeros(len(at), np.int64)
+    out = np.zeros(len(s), np.int64)
+    places = np.flatnonzero(same)
+    if not len(places):
+        return out
+    before = np.empty(len(s), np.int64)
+    before[order[places]] = order[places - 1]
+    here = np.zeros(len(s), bool)
+    here[order[places]] = True
+    at = np.flatnonzero(here)
+    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    within = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+    lane = np.flatnonzero(within % LANE == 0)
+    size = np.diff(np.append(lane, len(at)))
     padded = np.concatenate([s, np.zeros(limit + 1, s.dtype)])
-    for k in range(step):
-        i = at + k
-        if i[-1] >= n:
-            at, shared, i = at[:-1], shared[:-1], i[:-1]
-        j, h = before[i], np.maximum(shared - 1, 0)
-        left = np.flatnonzero(j >= 0)
-        h[j < 0] = 0
-        x, y = i[left] + h[left], j[left] + h[left]
+    shared = np.zeros(len(s), np.int64)
+    lane, size = lane[np.argsort(-size)], -np.sort(-size)
+    h = np.full(len(lane), known, np.int64)
+    for k in range(int(size[0])):
+        going = int(np.searchsorted(-size, -k))  # lanes of more than k positions
+        i = at[lane[:going] + k]
+        j, h = before[i], np.maximum(h[:going] - 1, known)
+        left = np.arange(going)
+        x, y = i + h, j + h
         while len(left):
             one = padded[x]
-            same = (one == padded[y]) & (one != 0)
-            h[left] += same
-            same &= h[left] < limit
-            left, x, y = left[same], x[same] + 1, y[same] + 1
-        out[i] = shared = h
-    return out[order]
+            equal = (one == padded[y]) & (one != 0)
+            h[left] += equal
+            equal &= h[left] < limit
+            left, x, y = left[equal], x[equal] + 1, y[equal] + 1
+        shared[i] = h
+    out[places] = np.minimum(shared[order[places]], limit)
+    return out
