@@ -15,13 +15,13 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from paceline.llm.common import bytes_of, small_batches
+from paceline.llm.common import bytes_of, small_batches, staged
 from paceline.llm.suffixes import suffix_order
 
 WINDOW = 13
@@ -29,8 +29,8 @@ WINDOW = 13
 SHARD = 1 << 19
 #: Every so many positions the place is kept with the index.
 SAMPLED = 8
-#: Bytes of test text that go to the executors at once; more are searched block by block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of test text that go to the executors at once; more are searched block by block, one broadcast after the other.
+BLOCK_BYTES = 4 << 20
 #: Lower-case letters and digits stay, bytes of other scripts stay, all else separates words.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -56,21 +56,19 @@ class Phrases:
 def phrases(items: list[tuple[str, bytes | None]], window: int) -> Phrases:
     """Windows of ``window`` consecutive words of every item; a shorter item is one window."""
     numbers: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
     names = sorted({name for name, _ in items})
     place = {x: k for k, x in enumerate(names)}
-    for name, data in items:
-        ids = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(data)]
-        for k in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[k : k + window]), set()).add(place[name])
-    windows = np.zeros((len(found), window), np.int64)
-    for k, w in enumerate(found):
-        windows[k, : len(w)] = w
-    of = [sorted(x) for x in found.values()]
-    sizes = np.array([len(x) for x in of], np.int64)
-    return Phrases(
-        numbers, windows, (windows > 0).sum(axis=1), np.r_[0, np.cumsum(sizes)], np.array([y for x in of for y in x], np.int64), names
-    )
+    ids = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(data)], np.int64) for _, data in items]
+    count = np.array([max(1, len(x) - window + 1) if len(x) else 0 for x in ids], np.int64)
+    begin = np.cumsum([0, *(len(x) + window for x in ids)])[:-1]  # each item is followed by zeros, which pad a short one
+    text = np.concatenate([np.concatenate([x, np.zeros(window, np.int64)]) for x in ids] or [np.zeros(window, np.int64)])
+    item = np.repeat(np.array([place[name] for name, _ in items], np.int64), count)
+    at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(len(item))
+    rows = np.lib.stride_tricks.sliding_window_view(text, window)[at]
+    windows, of = np.unique(rows, axis=0, return_inverse=True)
+    pair = np.unique(of.reshape(-1) * max(1, len(names)) + item)  # each window's items, once each
+    sizes = np.bincount(pair // max(1, len(names)), minlength=len(windows))
+    return Phrases(numbers, windows, (windows > 0).sum(axis=1), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pair % max(1, len(names)), names)
 
 
 class WaveletTree:
@@ -185,13 +183,8 @@ def shard_hits(texts: list[list[bytes]], p: Phrases) -> list[tuple[int, list[int
     return [(int(n), *spans.get(k, ([], [])), items.get(k, [])) for k, n in enumerate(n_words)]
 
 
-HITS = "doc_id long, data binary, n_words long, begins array<long>, ends array<long>, items array<string>"
-HIT_SCHEMA = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("data", pa.binary()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())),
-        ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())),
-    ]
-)
+HITS = "struct<n_words:long,begins:array<long>,ends:array<long>,items:array<string>>"
+HIT_TYPE = pa.struct([("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -204,50 +197,74 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits_in(batches: Iterator[pa.RecordBatch], sent: Broadcast, carry: bool) -> Iterator[pa.RecordBatch]:
-    """Search shard after shard. Rows may bring hits of earlier blocks of phrases; ``carry``: the texts go on to a later block."""
-    rows: list[dict] = []
-    texts: list[list[bytes]] = []
-    held = 0
+def hits_in(batches: Iterator[pa.RecordBatch], sent: Broadcast, text: int) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Rows with the hits of each, searched shard after shard; column ``text`` holds the texts."""
+    held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
+    size = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
         p = sent.value
-        for r, (n, begins, ends, items) in zip(rows, shard_hits(texts, p), strict=True):
-            if r.get("n_words") is not None:
-                both = merged([*zip(r["begins"], r["ends"], strict=True), *zip(begins, ends, strict=True)])
-                begins, ends = [a for a, _ in both], [b for _, b in both]
-            names = {*(r.get("items") or ()), *(p.names[x] for x in items)}
-            r |= {"n_words": n, "begins": begins, "ends": ends, "items": sorted(names), "data": r["data"] if carry else None}
-        return pa.RecordBatch.from_pylist(rows, schema=HIT_SCHEMA)
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            w = words_of(r["data"])
-            if texts and held + len(w) > SHARD:
-                yield flush()
-                rows, texts, held = [], [], 0
-            if not carry:
-                r["data"] = None
-            rows.append(r)
-            texts.append(w)
-            held += len(w) + 1
-    if texts:
-        yield flush()
-
-
-def blocks_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[Phrases]:
-    """The test phrases, in blocks of whole items of about BLOCK_BYTES; one item comes to the driver at a time."""
-    rows = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].cast("string").cast("binary").alias("data"))
-    held: list[tuple[str, bytes]] = []
-    size, given = 0, False
-    for r in rows.where("id IS NOT NULL AND data IS NOT NULL").toLocalIterator():
-        if held and size + len(r.data) > BLOCK_BYTES:
-            yield phrases(held, window)
-            held, size, given = [], 0, True
-        held.append((r.id, bytes(r.data)))
-        size += len(r.data)
-    if held or not given:
-        yield phrases(held, window)
+        found = iter(shard_hits([w for _, texts in held for w in texts], p))
+        for rows, texts in held:
+            out = []
+            for _ in texts:
+                n, begins, ends, items = next(found)
+                out.append({"n_words": n, "begins": begins, "ends": ends, "items": sorted(p.names[x] for x in items)})
+            yield rows, out
+
+    for b in batches:
+        texts, a = [words_of(x.encode() if isinstance(x, str) else x) for x in b.column(text).to_pylist()], 0
+        for k, w in enumerate(texts):
+            if size and size + len(w) > SHARD:  # the rows so far are a shard
+                held.append((b.slice(a, k - a), texts[a:k]))
+                yield from flush()
+                held, size, a = [], 0, k
+            size += len(w) + 1
+        held.append((b.slice(a), texts[a:]))
+    if held:
+        yield from flush()
+
+
+def both(old: dict, new: dict) -> dict:
+    """Hits of two blocks in the same row."""
+    spans = merged([*zip(old["begins"], old["ends"], strict=True), *zip(new["begins"], new["ends"], strict=True)])
+    return new | {"begins": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted({*old["items"], *new["items"]})}
+
+
+def searched(docs: DataFrame, text_col: str, benchmark: DataFrame, window: int, id_col: str, item_text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, of type HITS, and its name.
+
+    The test items are dealt to as many blocks as their bytes ask for, which is all that the driver learns of them at first. Then one block
+    after the other comes to it (4 MB, or one longer item), is broadcast and searched for; unless it is the last, its hits are written and it is released before the next.
+    """
+    small_batches(docs.sparkSession)
+    name = "hits"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    items = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[item_text_col].cast("string").cast("binary").alias("data"))
+    items = items.where("id IS NOT NULL AND data IS NOT NULL")
+    n_bytes = items.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    blocks = -(-n_bytes // BLOCK_BYTES)
+    if blocks > 1:
+        items = staged(items.withColumn("block", F.pmod(F.xxhash64("id", "data"), F.lit(blocks))))
+    kind = StructType([*docs.schema.fields, *StructType.fromDDL(f"{name} {HITS}").fields])
+    text, found, names = docs.columns.index(text_col), docs, [*docs.columns, name]
+    for k in range(max(1, blocks)):
+        block = (items.where(F.col("block") == k) if blocks > 1 else items).select("id", "data")
+        sent = docs.sparkSession.sparkContext.broadcast(phrases([(r.id, bytes(r.data)) for r in block.toLocalIterator()], window))
+
+        def search(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, again: bool = k > 0) -> Iterator[pa.RecordBatch]:
+            for rows, hits in hits_in(batches, sent, text):
+                columns = rows.columns
+                if again:
+                    hits = [both(old, new) for old, new in zip(columns.pop().to_pylist(), hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, HIT_TYPE)], names)
+
+        found = found.mapInArrow(search, kind)
+        if k + 1 < blocks:
+            found = staged(found)
+            sent.destroy()
+    return found, name
 
 
 def contamination(
@@ -260,15 +277,9 @@ def contamination(
     id has no windows; repeated item ids are one item. Ids of documents may be null or repeat: each row is
     judged by itself. Either table may be empty. Other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = bytes_of(docs, id_col, text_col)
-    sent = [spark.sparkContext.broadcast(p) for p in blocks_of(benchmark, window, item_col, item_text_col)]
-    for k, block in enumerate(sent):
-        carry = k + 1 < len(sent)
-        found = found.mapInArrow(lambda batches, block=block, carry=carry: hits_in(batches, block, carry), HITS)
-    spans = F.transform(F.arrays_zip("begins", "ends"), lambda s: F.struct(s["begins"].alias("begin"), s["ends"].alias("end")))
-    return found.select("doc_id", "n_words", spans.alias("spans"), "items")
+    found, hits = searched(bytes_of(docs, id_col, text_col), "data", benchmark, window, item_col, item_text_col)
+    spans = F.transform(F.arrays_zip(f"{hits}.begins", f"{hits}.ends"), lambda s: F.struct(s["begins"].alias("begin"), s["ends"].alias("end")))
+    return found.select("doc_id", f"{hits}.n_words", spans.alias("spans"), f"{hits}.items")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -295,29 +306,19 @@ def removed(text: str | None, begins: list[int], ends: list[int]) -> str | None:
     return b"".join([*out, data[at:]]).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns as they are.
+def clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with their columns as they are, whatever their names.
 
     Contaminated: some word is hit, and hit words are a twentieth of all words or more. Each row is
     judged where it is and nothing is joined, so null and repeated ids don't matter. A row without
-    words stays.
+    words stays, and so do all rows if ``benchmark`` is empty. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = [spark.sparkContext.broadcast(p) for p in blocks_of(benchmark, window, "item_id", "text")]
-
-    @F.pandas_udf("boolean")
-    def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts = [words_of(x.encode()) if isinstance(x, str) else [] for x in batch]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for block in sent:
-                for own, (_, begins, ends, _) in zip(spans, shard_hits(texts, block.value), strict=True):
-                    own += zip(begins, ends, strict=True)
-            n_hit = [sum(b - a for a, b in merged(x)) for x in spans]
-            yield pd.Series([n > 0 and 20 * n >= len(w) for n, w in zip(n_hit, texts, strict=True)], dtype=bool)
-
-    return docs.where(~contaminated(docs[text_col].cast("string")))
+    found, hits = searched(docs, text_col, benchmark, window, item_col, item_text_col)
+    pairs = F.arrays_zip(f"{hits}.begins", f"{hits}.ends")
+    n_hit = F.aggregate(pairs, F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["begins"])
+    return found.where((n_hit == 0) | (20 * n_hit < F.col(f"{hits}.n_words"))).drop(hits)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

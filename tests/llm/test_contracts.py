@@ -42,6 +42,19 @@ def test_sql(spark, sf, name, text):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
+def test_benchmark_in_blocks(spark, sf, monkeypatch):
+    """The same rows whether the benchmark goes to the executors at once or in blocks; the same for the filter, for which columns may clash."""
+    docs, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.withColumn("hits", docs.n_chars).withColumn("items", docs.lang)
+    whole = sorted(map(repr, decontaminate.report(decontaminate.contamination(docs, benchmark)).collect()))
+    kept = sorted(map(repr, decontaminate.clean(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    assert sorted(map(repr, decontaminate.report(decontaminate.contamination(docs, benchmark)).collect())) == whole
+    assert sorted(map(repr, decontaminate.clean(docs, benchmark).collect())) == kept
+    dirty = {r.doc_id for r in decontaminate.report(decontaminate.contamination(docs, benchmark)).where("contaminated").collect()}
+    assert dirty and len(kept) == docs.count() - docs.where(docs.doc_id.isin(dirty)).count()
+
+
 def test_media_round_trip(spark, sf, documents):
     got, n = rows(spark, sf, "op2_media_columns")
     assert n == len(documents)
