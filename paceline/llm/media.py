@@ -147,7 +147,8 @@ def resolve(sequences: DataFrame, known: DataFrame) -> DataFrame:
 
     ``known`` has one row per digest. References whose digest is null or unknown keep their row with
     ``resolved`` false, so positions and captions stay aligned. One digest may be referred to by any
-    number of rows: the join is an ordinary one, whose large partitions Spark splits.
+    number of rows: the join is an ordinary one, whose large partitions Spark splits. Columns of ``known`` other than ``digest``
+    must not be named like those of an element. Rows with a null id stay; a row without elements has none here.
     """
     flat = sequences.select("id", F.explode("elements").alias("e")).select("id", "e.*")
     out = flat.join(known.withColumn("resolved", F.lit(True)), "digest", "left")
@@ -255,8 +256,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every text as a 64-wide 8-bit image, refer to it from a page, resolve and read it back.
 
     One row per row of ``docs`` with the features of its image, its position in the page and its
-    caption. A null text is an empty one: 64 zero bytes, ``n_bytes`` 0. Equal texts are one entry of
-    the store. Ids may be null or repeat. An empty table gives an empty result. Other columns are not read.
+    caption. A null text is an empty one: 64 zero bytes, ``n_bytes`` 0. Equal texts have equal digests: each image is
+    stored and decoded where its document lies, and references get the features of one of the copies. Ids may be null or repeat. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     at = scratch(spark)

@@ -1,9 +1,8 @@
 """Quality scores by nearest-neighbour voting among latent-semantic vectors.
 
-A text's terms are 4-grams of its shape (letters become ``a`` or ``A``, digits ``0``, other
-characters stay) hashed to ``TERMS`` places, log-damped and weighted by inverse document frequency, and a few
-ratios: repeated words, capitals, punctuation, digits, line lengths. Shapes don't depend on the
-language. A singular value decomposition of a bounded sample of labelled rows gives ``DIMENSIONS``
+A text's terms are its 5-grams of lower-case bytes, which carry its words, and 4-grams of its shape (letters become ``a`` or ``A``, digits ``0``, other
+characters stay), which don't depend on the language. Each kind is hashed to half of ``TERMS`` places, log-damped and weighted by inverse document frequency.
+Beside them stand, with less weight, a few ratios: repeated words and lines, capitals, punctuation, digits, shortness. A singular value decomposition of a bounded sample of labelled rows gives ``DIMENSIONS``
 directions; the sample's vectors and labels go to every task. There each block of documents is
 multiplied with all of them, so cosines are exact, and the ``NEIGHBOURS`` nearest vote with their
 similarity as weight.
@@ -22,15 +21,17 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import bytes_of, small_batches
 
-TERMS, RATIOS = 4096, 8
+TERMS, RATIOS = 4096, 7
 DIMENSIONS, NEIGHBOURS = 64, 15
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 SAMPLE = 4096
-#: Weight of the ratios beside the terms, whose vector has length 1.
-RATIO_WEIGHT = 1.5
+#: Weight of the ratios beside the terms, of which each kind has length 1.
+RATIO_WEIGHT = 0.5
 #: Documents multiplied at once.
 BLOCK = 64
 
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[ord("A") : ord("Z") + 1] += 32
 SHAPE = np.arange(256, dtype=np.uint32)
 SHAPE[ord("a") : ord("z") + 1] = SHAPE[128:] = ord("a")
 SHAPE[ord("A") : ord("Z") + 1] = ord("A")
@@ -52,7 +53,6 @@ def ratios(data: bytes, shape: np.ndarray) -> list[float]:
         float(min(1.0, 4 * marks / size)),
         float(min(1.0, 4 * kinds[ord("0")] / size)),
         1 - len(set(lines)) / max(1, len(lines)),
-        float(kinds[ord("|")] * 10 / size),
         1 / (1 + n / 20),
     ]
 
@@ -65,7 +65,11 @@ def raw_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         s = SHAPE[np.frombuffer(data, np.uint8)]
         if len(s) >= 4:
             g = (s[:-3] | s[1:-2] << np.uint32(7) | s[2:-1] << np.uint32(14) | s[3:] << np.uint32(21)) * np.uint32(2654435761)
-            counts[k] = np.bincount(g >> np.uint32(20), minlength=TERMS)
+            counts[k, : TERMS // 2] = np.bincount(g >> np.uint32(21), minlength=TERMS // 2)
+        if len(s) >= 5:
+            t = LOWER[np.frombuffer(data, np.uint8)]
+            g = t[:-4] | t[1:-3] << np.uint64(8) | t[2:-2] << np.uint64(16) | t[3:-1] << np.uint64(24) | t[4:] << np.uint64(32)
+            counts[k, TERMS // 2 :] = np.bincount(((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int64), minlength=TERMS // 2)
         extra[k] = ratios(data, s)
     return np.log1p(counts, out=counts), extra
 
@@ -80,21 +84,25 @@ class Model:
     labels: np.ndarray
 
     def weigh(self, terms: np.ndarray, extra: np.ndarray) -> np.ndarray:
-        terms = terms * self.idf
-        terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
-        return np.hstack([terms, RATIO_WEIGHT * extra])
+        kinds = np.split(terms * self.idf, 2, axis=1)
+        for x in kinds:
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return np.hstack([*kinds, RATIO_WEIGHT * extra])
 
     def latent(self, texts: list[bytes]) -> np.ndarray:
         v = self.weigh(*raw_terms(texts)) @ self.basis
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """The share of label 1 in the neighbours' votes; 0.5 if nothing was learned."""
+        """The share of label 1 in the neighbours' votes; 0.5 if nothing was learned. Of equally near ones the first of the sample vote, which stands in the order of ids."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         close = self.latent(texts) @ self.vectors.T
         k = min(NEIGHBOURS, close.shape[1])
         near = np.argpartition(-close, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(close, near, axis=1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((close >= least).sum(axis=1) > k):  # ties at the last neighbour: the first of the sample
+            near[row] = np.lexsort((np.arange(close.shape[1]), -close[row]))[:k]
         weight = np.maximum(np.take_along_axis(close, near, axis=1).astype(np.float64), 1e-6) ** 8
         return (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
 
@@ -171,7 +179,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are."""
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are, whatever their names.
+
+    Each row is judged by its text alone: a null one as an empty one, repeated rows alike. Ids aren't read. An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -237,6 +237,7 @@ def grouped(of: DataFrame, threshold: int) -> DataFrame:
     """``(fp, first_id, component)`` of the distinct fingerprints; a component is named by one of them."""
     nodes = staged(of.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     part = connected_components(near_links(nodes, threshold))
+    small_batches(of.sparkSession)  # near_links takes larger ones
     return nodes.join(part.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
