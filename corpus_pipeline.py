@@ -1,7 +1,10 @@
 """From raw documents to token ids: quality, near-duplicates, decontamination, mixing, output.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
-and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+and read again as the next one's ``docs``. All but the last return the columns of ``documents``, and carry others along.
+
+Null texts are empty ones; null ids are kept as they are; repeated rows are judged alike, of which near-duplicates leave one. An empty
+table passes every stage empty. Ties and columns with clashing names: see the operator that each stage calls.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds every stage against a plain loop over its input.
 ORACLE_SQL = None
 
 
