@@ -53,17 +53,6 @@ def bytes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-#: A node with over one in so many of all edges is a hub; there are at most twice as many hubs.
-HUB_SHARE = 500
-
-
-def least_of(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """``rows`` joined with ``least(u, m, n)`` by ``u``. Nodes of over ``limit`` rows, few by their number, are broadcast, so that no task gets all rows of one."""
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
-    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(others)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of an undirected graph ``edges(src, dst)`` of longs.
 
@@ -75,22 +64,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = staged(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
-    if not (size := pairs.count()):
+    if pairs.isEmpty():
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
-        limit = max(100, size // HUB_SHARE)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = least_of(both, least, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = least_of(large, least, limit)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         pairs = staged(small.where("u <> v").distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, size = now, now[0]
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
