@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from paceline.llm import decontaminate, huffman, language, media, mixing, passages, quality, simhash, suffix_dedup, token_counts
+from paceline.llm import decontaminate, huffman, language, media, mixing, negatives, passages, quality, simhash, suffix_dedup, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,12 +16,16 @@ QUERIES = {
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
