@@ -9,7 +9,8 @@ bounds on where a candidate can be of use: it is sent to these groups only, and
 2. Negatives: groups by cell. The positives' scores give each anchor a band of scores, that is, a shell of distances; a group takes the
    candidates that are within the hull of its shells.
 
-A group of many anchors or candidates is dealt in blocks of both, each a task's work, whose best rows are merged.
+Groups whose bounds exclude nothing (in many dimensions, without clusters, all of them) become one, ``OPEN``, so that a candidate is sent once for them
+and not once for each. A group of many anchors or candidates is dealt in blocks of both, each a task's work, whose best rows are merged.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ SCALE = 256
 #: Pivots, at most: rows with the smallest hash of their id.
 PIVOTS = 16
 #: Anchors and candidates of a group that one task compares, about.
-BLOCK = 1 << 15
+ANCHORS, CANDIDATES = 1 << 15, 1 << 13
+#: The group of all cells that need every candidate.
+OPEN = -1
 #: Scores computed at once.
 ROWS, COLS = 512, 4096
 #: Part by which bounds of distances are widened, so that rounding never excludes a row.
@@ -95,6 +98,7 @@ def placed(rows: DataFrame, pivots, anchors: bool, keep: list[str]) -> DataFrame
 
 def best(anchors: DataFrame, others: DataFrame, by: list[str], run, schema: str) -> DataFrame:
     """``run`` over the anchors and candidates of each group, block by block."""
+    anchors, others = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (anchors, others))  # both sides may stem from one table
     return anchors.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(run, schema)
 
 
@@ -112,20 +116,35 @@ def scores_in(left: np.ndarray, right: np.ndarray, most: float) -> Iterator[tupl
             yield slice(i, i + ROWS), slice(j, j + COLS), left[i : i + ROWS] @ right[j : j + COLS].T
 
 
-def blocks(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+def blocks(n: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
 
 
-def positives(table: DataFrame, is_anchor: Column, pivots, longest: int, most: int) -> DataFrame:
+def part_of(n: Column) -> Column:
+    """The block of ``n`` that a row falls in by its id."""
+    return F.pmod(F.xxhash64("id"), n).cast("int")
+
+
+def spread(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def spans(table: DataFrame, pivots) -> DataFrame:
+    """Of each label the number of candidates, and the least and greatest distance of any of them to each pivot."""
+    far = [F.col("far")[k] for k in range(len(pivots.value.x))]
+    own = placed(table, pivots, False, ["label"])
+    return staged(own.groupBy("label").agg(F.count("*").alias("n_label"), F.array(*map(F.min, far)).alias("least"), F.array(*map(F.max, far)).alias("most")))
+
+
+def positives(table: DataFrame, span: DataFrame, is_anchor: Column, pivots, longest: int, most: int) -> DataFrame:
     """``anchor_id, other_id, score, rank``: each anchor's first ``most`` other rows of its label."""
-    spark = table.sparkSession
-    anchors = placed(table.where(is_anchor), pivots, True, ["id", "label", "v"]).withColumn("near", F.col("far")[F.col("cell")])
+    anchors = placed(table.where(is_anchor), pivots, True, ["id", "label", "v"])
     own = placed(table, pivots, False, ["id", "label"])
     # of each label and cell the least distances to the pivot; a group's own radius, and the way to the cell, bound what its anchors find there
     order = Window.partitionBy("label", "cell").orderBy("d", "id")
     least = own.select("id", "label", "cell", F.col("far")[F.col("cell")].alias("d")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most + 1)
     least = least.groupBy("label", F.col("cell").alias("there")).agg(F.sort_array(F.collect_list("d")).alias("ds"))
-    groups = anchors.groupBy("label", "cell").agg(F.max("near").alias("radius"), F.count("*").alias("n"))
+    groups = anchors.groupBy("label", "cell").agg(F.max(F.col("far")[F.col("cell")]).alias("radius"), F.count("*").alias("n"))
     between = pivots.value.distances(pivots.value.x, False)  # pivots are candidates
     between = F.array(*(F.array(*map(F.lit, map(float, r))) for r in between))
     way = F.col("radius") + between[F.col("cell")][F.col("there")]
@@ -133,15 +152,16 @@ def positives(table: DataFrame, is_anchor: Column, pivots, longest: int, most: i
     bound = bound.groupBy("label", "cell", "radius", "n").agg(F.sort_array(F.flatten(F.collect_list("ds"))).alias("ds"))
     # an anchor is among the rows of its own label, hence one more; fewer rows than that: all are needed
     reach = F.when(F.size("ds") > most, F.element_at("ds", most + 1)).otherwise(F.lit(float("inf")))
-    limit = ((F.col("radius") + reach) * (1 + SLACK)).alias("limit")
-    in_label = own.groupBy("label").agg(F.count("*").alias("n_label"))
-    groups = staged(bound.select("label", "cell", limit, "n").join(in_label, "label").select("label", "cell", "limit", blocks(F.col("n")).alias("n_part"), blocks(F.col("n_label")).alias("n_salt")))
-    routed = placed(table, pivots, False, ["id", "label", "v"]).drop("cell").join(groups, "label")
-    routed = routed.where(F.col("far")[F.col("cell")] <= F.col("limit")).select("label", "cell", "id", "v", "n_part", "n_salt")
-    routed = routed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n_salt")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_part") - 1)))
-    asked = anchors.select("label", "cell", "id", "v").join(groups.select("label", "cell", "n_part", "n_salt"), ["label", "cell"])
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_part")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
-    by = ["label", "cell", "part", "salt"]
+    limit = (F.col("radius") + reach) * (1 + SLACK)
+    bound = bound.withColumn("limit", limit).join(span, "label").withColumn("group", F.when(F.col("limit") >= F.col("most")[F.col("cell")], OPEN).otherwise(F.col("cell")))
+    bound = staged(bound.select("label", "cell", "group", "limit", "n", "n_label"))
+    groups = bound.groupBy("label", "group").agg(F.max("limit").alias("limit"), blocks(F.sum("n"), ANCHORS).alias("n_part"), blocks(F.max("n_label"), CANDIDATES).alias("n_salt"))
+    routed = placed(table, pivots, False, ["id", "label", "v"]).join(groups, "label")
+    routed = routed.where((F.col("group") == OPEN) | (F.col("far")[F.greatest("group", F.lit(0))] <= F.col("limit")))
+    routed = routed.select("label", "group", spread(F.col("n_part")).alias("part"), part_of(F.col("n_salt")).alias("salt"), "id", "v")
+    asked = anchors.join(bound.select("label", "cell", "group"), ["label", "cell"]).join(groups, ["label", "group"])
+    asked = asked.select("label", "group", part_of(F.col("n_part")).alias("part"), spread(F.col("n_salt")).alias("salt"), "id", "v")
+    by = ["label", "group", "part", "salt"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros((0, 3), np.int64)]
@@ -163,10 +183,10 @@ def positives(table: DataFrame, is_anchor: Column, pivots, longest: int, most: i
         place = np.arange(len(found)) - np.searchsorted(found[:, 0], found[:, 0])
         return pa.table(dict(zip(("anchor_id", "other_id", "score"), map(pa.array, found[place < most].T), strict=True)))
 
-    return top(best(asked.select(*by, "id", "v"), routed.select(*by, "id", "v"), by, run, PAIR), ["anchor_id"], most)
+    return top(best(asked, routed, by, run, PAIR), ["anchor_id"], most)
 
 
-def negatives(table: DataFrame, found: DataFrame, pivots, longest: int, most: int) -> DataFrame:
+def negatives(table: DataFrame, span: DataFrame, found: DataFrame, pivots, longest: int, most: int) -> DataFrame:
     """``anchor_id, positive_id, other_id, score, positive_score, rank``: the first ``most`` rows of other labels in each positive's band."""
     low, high = F.expr(f"(score * {LOW} + 99) div 100"), F.expr(f"(score * {HIGH}) div 100")  # rounded up and down; a negative score has no band
     bands = found.where("score >= 0").select("anchor_id", F.struct(F.col("other_id").alias("id"), "score", low.alias("low"), high.alias("high")).alias("band"))
@@ -175,20 +195,29 @@ def negatives(table: DataFrame, found: DataFrame, pivots, longest: int, most: in
     away = lambda s: F.sqrt(F.greatest(F.col("norm") + longest - 2.0 * s, F.lit(0.0)))
     outer = F.max(F.col("near") + away(F.array_min("bands.low"))) * (1 + SLACK)
     inner = F.min(away(F.array_max("bands.high")) - F.col("near")) * (1 - SLACK) - SLACK
-    groups = asked.groupBy("cell").agg(inner.alias("inner"), outer.alias("outer"), F.count("*").alias("n")).orderBy("cell").collect()  # at most one per pivot
+    cells = asked.groupBy("cell").agg(inner.alias("inner"), outer.alias("outer"), F.count("*").alias("n")).orderBy("cell").collect()  # at most one per pivot
     schema = "anchor_id long, positive_id long, other_id long, score long, positive_score long"
-    if not groups:
+    if not cells:
         return table.sparkSession.createDataFrame([], schema + ", rank int")
-    total = table.count()
-    parts, salts = {g.cell: -(-g.n // BLOCK) for g in groups}, -(-total // BLOCK)
-    wanted = F.array(*(F.struct(F.lit(g.cell).alias("cell"), F.lit(g.inner).alias("inner"), F.lit(g.outer).alias("outer"), F.lit(parts[g.cell]).alias("n_part")) for g in groups))
+    each = range(len(pivots.value.x))
+    all_ = span.agg(F.sum("n_label"), *(F.min(F.col("least")[k]) for k in each), *(F.max(F.col("most")[k]) for k in each)).first()
+    total, least, most_far = all_[0], all_[1 : 1 + len(each)], all_[1 + len(each) :]
+    group_of = {c.cell: OPEN if c.inner <= least[c.cell] and c.outer >= most_far[c.cell] else c.cell for c in cells}
+    groups = {g: [c for c in cells if group_of[c.cell] == g] for g in set(group_of.values())}
+    parts, salts = {g: -(-sum(c.n for c in cs) // ANCHORS) for g, cs in groups.items()}, F.lit(-(-total // CANDIDATES))
+    wanted = F.array(
+        *(
+            F.struct(F.lit(g).alias("group"), F.lit(min(c.inner for c in cs)).alias("inner"), F.lit(max(c.outer for c in cs)).alias("outer"), F.lit(parts[g]).alias("n"))
+            for g, cs in sorted(groups.items())
+        )
+    )
+    table_of = lambda pairs: F.create_map(*(F.lit(x) for kv in sorted(pairs.items()) for x in kv))
     routed = placed(table, pivots, False, ["id", "label", "v"]).select("id", "label", "v", "far", F.explode(wanted).alias("g"))
-    routed = routed.where(F.col("far")[F.col("g.cell")].between(F.col("g.inner"), F.col("g.outer")))
-    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("g.n_part") - 1)))
-    routed = routed.select(F.col("g.cell").alias("cell"), "part", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "label", "v")
-    part = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("cell"))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), part).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    by = ["cell", "part", "salt"]
+    routed = routed.where((F.col("g.group") == OPEN) | F.col("far")[F.greatest("g.group", F.lit(0))].between(F.col("g.inner"), F.col("g.outer")))
+    routed = routed.select(F.col("g.group").alias("group"), spread(F.col("g.n")).alias("part"), part_of(salts).alias("salt"), "id", "label", "v")
+    asked = asked.withColumn("group", table_of(group_of)[F.col("cell")])
+    asked = asked.select("group", part_of(table_of(parts)[F.col("group")]).alias("part"), spread(salts).alias("salt"), "id", "label", "v", "bands")
+    by = ["group", "part", "salt"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros((0, 5), np.int64)]
@@ -224,8 +253,7 @@ def negatives(table: DataFrame, found: DataFrame, pivots, longest: int, most: in
         place = np.arange(len(found)) - np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
         return pa.table(dict(zip(("anchor_id", "positive_id", "other_id", "score", "positive_score"), map(pa.array, found[place < most].T), strict=True)))
 
-    pairs = best(asked.select(*by, "id", "label", "v", "bands"), routed, by, run, schema)
-    return top(pairs, ["anchor_id", "positive_id"], most)
+    return top(best(asked, routed, by, run, schema), ["anchor_id", "positive_id"], most)
 
 
 def mine(
@@ -252,8 +280,9 @@ def mine(
     if sizes > 1:
         raise ValueError("vectors of different lengths")
     pivots = spark.sparkContext.broadcast(Pivots(chosen, longest))
-    found = staged(positives(table, is_anchor, pivots, longest, n_positives))
-    made = negatives(table, found, pivots, longest, n_negatives)
+    span = spans(table, pivots)
+    found = staged(positives(table, span, is_anchor, pivots, longest, n_positives))
+    made = negatives(table, span, found, pivots, longest, n_negatives)
     return made.select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
