@@ -29,7 +29,7 @@ CANDIDATES, TERMS = 16384, 2048
 #: A term stands in this many toxic documents at least, and its likelihood ratio is at least this.
 LEAST_DOCS, LEAST_RATIO = 3, 12.0
 #: Different sentences of one document that are learned from, at most.
-SENTENCES = 512
+SENTENCES = 256
 #: Weight of the squared weights beside the loss; steps of the fit.
 RIDGE, STEPS = 0.1, 80
 #: Words whose terms a task remembers.
@@ -99,16 +99,13 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, toxic: float, others: float)
     return 2 * (x(a) + x(b) + x(c) + x(d) - x(a + b) - x(c + d) - x(a + c) - x(b + d) + x(a + b + c + d))
 
 
-def fit(instances: list[tuple[int, tuple[int, ...], int]], labels: np.ndarray, balance: np.ndarray, n_terms: int) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the labels likely through the noisy-or of ``instances`` (document, places, times).
+def fit(doc: np.ndarray, sizes: np.ndarray, times: np.ndarray, cols: np.ndarray, labels: np.ndarray, balance: np.ndarray, n_terms: int) -> tuple[np.ndarray, float]:
+    """Weights and bias that make the labels likely through the noisy-or of sentences.
 
+    A sentence has its document ``doc``, ``sizes`` places of ``cols``, and stands there ``times`` times; ``labels`` and ``balance`` are those of the documents.
     Batch gradient steps with running means of the gradient and its square; no randomness.
     """
-    doc = np.array([d for d, _, _ in instances], np.int64)
-    times = np.array([n for *_, n in instances], np.float64)
-    sizes = np.array([len(p) for _, p, _ in instances], np.int64)
-    cols = np.array([x for _, p, _ in instances for x in p], np.int64)
-    row = np.repeat(np.arange(len(instances)), sizes)
+    row = np.repeat(np.arange(len(doc)), sizes)
     w, mean, square = np.zeros(n_terms + 1), np.zeros(n_terms + 1), np.zeros(n_terms + 1)
     w[-1] = -2.0
     for step in range(1, STEPS + 1):
@@ -128,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int =
     Rows with a null label or id aren't learned from; of repeated ids in ``labels`` the lower label counts. The sample has at most ``toxic`` rows of label 1
     and ``others`` of label 0, spread evenly by a hash of the id and written to the shared folder once; if the others were thinned, they weigh
     the more. Terms are counted on the executors. The driver gets at most ``CANDIDATES`` terms, and of each
-    document at most ``SENTENCES`` sets of places.
+    document at most ``SENTENCES`` sets of places, four bytes a place.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -173,18 +170,27 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int =
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(sent.value)
         for b in batches:
-            found = [Counter(t for *_, t in sentence_terms(x, places)) for x in b.column(2).to_pylist()]
-            rows = [[{"places": list(t), "times": k} for t, k in sorted(c.items(), key=lambda x: hash(x[0]))[:SENTENCES]] for c in found]
-            kind = pa.list_(pa.struct([("places", pa.list_(pa.int32())), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], ["doc_id", "label", "sets"])
-
-    made = rows.mapInArrow(sets, "doc_id long, label int, sets array<struct<places: array<int>, times: long>>").where(F.size("sets") > 0)
-    found = sorted(made.collect(), key=lambda r: r.doc_id)
-    if not found:
+            found = [Counter(t for *_, t in sentence_terms(x, places)) for x in b.column(1).to_pylist()]
+            found = [sorted(c.items(), key=lambda x: hash(x[0]))[:SENTENCES] for c in found]  # numbers hash alike everywhere
+            packed = [
+                pa.array([np.fromiter(it, "<i4").tobytes() for it in column], pa.binary())
+                for column in (
+                    [[len(t) for t, _ in c] for c in found],
+                    [[k for _, k in c] for c in found],
+                    [[x for t, _ in c for x in t] for c in found],
+                )
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, found)), pa.int64()), *packed], ["label", "n", "sizes", "times", "places"])
+
+    made = rows.select("label", "data").mapInArrow(sets, "label int, n long, sizes binary, times binary, places binary").where("n > 0")
+    found = made.toArrow().sort_by([(c, "ascending") for c in ("label", "n", "places", "times", "sizes")])
+    if not found.num_rows:
         return Model([], np.zeros(0), 0.0)
-    told = np.array([r.label for r in found])
+    told = found.column("label").to_numpy()
+    sizes, times, cols = (np.frombuffer(b"".join(found.column(c).to_pylist()), "<i4").astype(np.int64) for c in ("sizes", "times", "places"))
     thinned = (in_all[0] / n[0]) / (in_all[1] / n[1])
-    weights, bias = fit([(k, tuple(s.places), s.times) for k, r in enumerate(found) for s in r.sets], told, np.where(told > 0, 1.0, thinned), len(names))
+    doc = np.repeat(np.arange(len(told)), found.column("n").to_numpy())
+    weights, bias = fit(doc, sizes, times.astype(np.float64), cols, told, np.where(told > 0, 1.0, thinned), len(names))
     return Model(names, weights, bias)
 
 
