@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.plans import aggregates, bindings, imports, landing, listings, rankings, texts
+from paceline.plans import aggregates, bindings, imports, landing, listings, mechanisms, rankings, texts
 
 #: Modules that register queries when they are imported.
-MODULES = (listings, aggregates, rankings, texts, imports, landing)
+MODULES = (listings, aggregates, rankings, texts, imports, landing, mechanisms)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
