@@ -21,8 +21,22 @@ CHUNK = "CAST(floor(id / 40000) AS INT)"
 XOR_KEY = 90
 
 
+def faulty(body: Column, course: str, page: str) -> Column:
+    """Bodies of a page as it landed: one course in 13 has its first page twice, one in 17 lacks the second, one in 19 has a first page that is cut short."""
+    c, first = F.col(course), F.col(page) == 0
+    copies = F.when((c % 17 == 0) & (F.col(page) == 1), F.array().cast("array<string>")).when(first & (c % 19 == 0), F.array(F.substring(body, 1, 20)))
+    return F.explode(copies.when(first & (c % 13 == 0), F.array(body, body)).otherwise(F.array(body))).alias("body")
+
+
+OWNER = "split_part(source, '/', 1)"
+#: Pages of a course and their number; whether the faults above hit it. A course's first page has ``f`` rows.
+PAGED = f"""WITH n AS (SELECT course_id, count(*) AS n, least(count(*), {PAGE}) AS f, (count(*) - 1) // {PAGE} + 1 AS pages FROM parts GROUP BY 1),
+faults AS (SELECT *, course_id % 13 = 0 AND course_id % 19 <> 0 AS twice, course_id % 17 = 0 AND pages > 1 AS hole, course_id % 19 = 0 AS cut FROM n)
+"""
+
+
 def page_documents(t: Tables) -> DataFrame:
-    """Numbered pages of each course; one course in seven announces a row too many, one in eleven has no last page."""
+    """Numbered pages of each course; one course in seven announces a row too many, one in eleven has no last page, and `faulty` ones."""
     at = Window.partitionBy("course_id").orderBy("id")
     numbered = t.parts.select("course_id", "id", "bib_number", F.row_number().over(at).alias("n"))
     ends = numbered.groupBy("course_id").agg(F.max("n").alias("most"))
@@ -30,32 +44,38 @@ def page_documents(t: Tables) -> DataFrame:
     last = (F.col("page") == F.expr(f"(most - 1) DIV {PAGE}")) & (F.col("course_id") % 11 != 0)
     announced = F.col("most") + F.when(F.col("course_id") % 7 == 0, 1).otherwise(0)
     body = F.to_json(F.struct(F.col("course_id").alias("race"), "page", last.alias("last"), announced.alias("announced"), "content"))
-    return pages.join(ends, "course_id").select(F.concat_ws("/", "course_id", "page").alias("source"), body.alias("body"))
+    return pages.join(ends, "course_id").select(F.concat_ws("/", "course_id", "page").alias("source"), faulty(body, "course_id", "page"))
 
 
-@query("SELECT course_id AS race, id, bib_number AS bib FROM parts WHERE course_id % 7 <> 0 AND course_id % 11 <> 0")
+@query(PAGED + "SELECT p.course_id AS race, id, bib_number AS bib FROM parts p JOIN faults USING (course_id) WHERE course_id % 7 <> 0 AND course_id % 11 <> 0 AND NOT twice AND NOT hole AND NOT cut")
 def json_pages(t: Tables) -> DataFrame:
-    return landed.rows_of_complete(landed.numbered_pages(page_documents(t), "id bigint, bib string"))
+    return landed.rows_of_complete(landed.numbered_pages(page_documents(t), "id bigint, bib string", OWNER))
 
 
-@query("SELECT course_id AS race, count(*) AS n_read, count(*) + (course_id % 7 = 0)::INT AS n_announced, course_id % 7 <> 0 AND course_id % 11 <> 0 AS complete FROM parts GROUP BY course_id")
+@query(
+    PAGED
+    + f"""SELECT course_id AS race, n + twice::INT * f - cut::INT * f - hole::INT * least(n - f, {PAGE}) AS n_read, n + (course_id % 7 = 0)::INT AS n_announced,
+    course_id % 7 <> 0 AND course_id % 11 <> 0 AND NOT twice AND NOT hole AND NOT cut AS complete FROM faults
+    WHERE pages - cut::INT - hole::INT > 0"""
+)
 def page_completeness(t: Tables) -> DataFrame:
-    return landed.completeness(landed.numbered_pages(page_documents(t), "id bigint, bib string"))
+    return landed.completeness(landed.numbered_pages(page_documents(t), "id bigint, bib string", OWNER))
 
 
-@query("SELECT course_id AS edition, id AS rid, bib_number AS bib FROM parts WHERE course_id % 11 <> 0")
+@query(PAGED + "SELECT course_id AS edition, id AS rid, bib_number AS bib FROM parts JOIN faults USING (course_id) WHERE course_id % 11 <> 0 AND NOT twice AND NOT cut AND NOT (course_id % 17 = 0 AND (pages > 1 OR n >= 5))")
 def linked_pages(t: Tables) -> DataFrame:
-    """Every fifth row comes again on the page after its own; one edition in eleven never ends."""
+    """Every fifth row comes again on the page after its own; one edition in eleven never ends; `faulty` ones."""
     n = F.row_number().over(Window.partitionBy("course_id").orderBy("id"))
     of = t.parts.select("course_id", F.col("id").alias("rid"), F.col("bib_number").alias("bib"), n.alias("n"))
     of = of.withColumn("page", F.expr(f"CAST((n - 1) DIV {PAGE} AS INT)"))
-    most = of.groupBy("course_id").agg((F.max("page") + 1).alias("most"))
     again = of.unionByName(of.where("n % 5 = 0").withColumn("page", F.col("page") + 1))
-    pages = again.groupBy("course_id", "page").agg(F.collect_list(F.struct("rid", "bib")).alias("value")).join(most, "course_id")
-    final = (F.col("page") >= F.col("most") - 1) & (F.col("course_id") % 11 != 0)
+    pages = again.groupBy("course_id", "page").agg(F.collect_list(F.struct("rid", "bib")).alias("value"))
+    most = pages.groupBy("course_id").agg(F.max("page").alias("most"))
+    final = (F.col("page") == F.col("most")) & (F.col("course_id") % 11 != 0)
     link = F.when(~final, F.concat(F.lit("next-"), (F.col("page") + 1).cast("string")))
-    docs = pages.select(F.col("course_id").alias("source"), F.to_json(F.struct(F.col("course_id").alias("edition"), "page", "value", link.alias("@odata.nextLink"))).alias("body"))
-    return landed.linked_pages(docs, "rid bigint, bib string", "rid")
+    body = F.to_json(F.struct(F.col("course_id").alias("edition"), "page", "value", link.alias("@odata.nextLink")))
+    docs = pages.join(most, "course_id").select(F.concat_ws("/", "course_id", "page").alias("source"), faulty(body, "course_id", "page"))
+    return landed.linked_pages(docs, "rid bigint, bib string", "rid", OWNER)
 
 
 @query("SELECT count(*) AS documents, count(*) FILTER (id % 5 = 0) AS failed FROM sources")
@@ -136,15 +156,17 @@ def xml_entrant_ranks(t: Tables) -> DataFrame:
     return rows.entrant_ranks(landed.entrants(clax_documents(t))).select("source", "bib", "rank_overall", "rank_gender", "rank_category")
 
 
-@query("SELECT id::VARCHAR AS \"Dossard\", trim(regexp_replace(coalesce(club, ''), '\\s+', ' ', 'g')) AS \"Club & co\", coalesce(total_time, '') AS \"Temps\" FROM parts")
+@query("SELECT id::VARCHAR AS \"Dossard\", trim(regexp_replace(coalesce(club, ''), '\\s+', ' ', 'g')) AS \"Club & co\", coalesce(total_time, '') AS \"Temps\" FROM parts WHERE id % 23 <> 0")
 def html_tables(t: Tables) -> DataFrame:
-    """A heading without a name and cells with tags, entities and line breaks."""
+    """A heading without a name and cells with tags, entities and line breaks; rows with a cell too few; a second table, and one around both."""
     cell = lambda c: F.concat(F.lit("<td class=x>"), F.coalesce(c, F.lit("")), F.lit("</td>"))
     club = F.concat(F.lit("<b>\n"), F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("club", F.lit("")), r"\s+", " ")), " ", "&nbsp;"), F.lit("</b>"))
-    row = F.concat(F.lit("<tr>"), cell(F.col("id").cast("string")), cell(F.lit("?")), cell(club), cell(F.col("total_time")), F.lit("</tr>"))
-    head = F.lit("<table><TR><th>Dossard</th><th></th><th>Club &amp; co</th><th>Temps</th></TR>")
+    blank = F.when(F.col("id") % 23 != 0, cell(F.lit("?"))).otherwise(F.lit(""))
+    row = F.concat(F.lit("<tr>"), cell(F.col("id").cast("string")), blank, cell(club), cell(F.col("total_time")), F.lit("</tr>"))
+    head = F.lit("<TABLE><tr><td>Menu</td></tr><tr><td><table><TR><th>Dossard</th><th></th><th>Club &amp; co</th><th>Temps</th></TR>")
+    tail = F.lit("</table></td></tr><tr><td><table><tr><th>Rang</th></tr><tr><td>1</td></tr></table></td></tr></TABLE>")
     of = t.parts.groupBy("course_id", F.expr(CHUNK).alias("chunk")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
-    out = landed.html_table(of.select(F.col("course_id").alias("source"), F.concat(head, "rows", F.lit("</table>")).alias("body")))
+    out = landed.html_table(of.select(F.col("course_id").alias("source"), F.concat(head, "rows", tail).alias("body")))
     return out.select(*(F.col("cells")[c].alias(c) for c in ("Dossard", "Club & co", "Temps")))
 
 

@@ -37,19 +37,31 @@ def good(docs: DataFrame, schema: str) -> DataFrame:
     return json_documents(docs, schema).where(~F.col("failed")).select("doc.*").drop("_bad")
 
 
-def numbered_pages(docs: DataFrame, row: str) -> DataFrame:
+def broken(docs: DataFrame, schema: str, owner: str, name: str) -> DataFrame:
+    """``name`` of the documents that can't be read, where ``owner``, an expression of ``source``, tells whose they are."""
+    return json_documents(docs, schema).where("failed").select(F.expr(owner).cast("bigint").alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
+def numbered_pages(docs: DataFrame, row: str, owner: str | None = None) -> DataFrame:
     """Pages ``race, page, content`` up to the first that says it is the last or is empty, with ``complete`` of the race.
 
-    A race is complete if it has such a page, every page before it once, and as many rows as it announces.
-    Totals that a source announces check the result only; they don't bound what is read.
+    A race is complete if it has such a page, every page from 0 to it exactly once, as many rows as it announces, and no page that couldn't be read
+    (``owner``, an expression of ``source``, tells the race of those). Totals that a source announces check the result only; they don't bound what is read.
     """
-    pages = good(docs, f"race bigint, page int, last boolean, announced bigint, content array<struct<{row}>>")
+    schema = f"race bigint, page int, last boolean, announced bigint, content array<struct<{row}>>"
+    pages = good(docs, schema)
     rows = F.coalesce(F.size("content"), F.lit(0))
     ends = F.when(F.coalesce("last", F.lit(False)) | (rows < 1), F.col("page"))
     stops = pages.groupBy("race").agg(F.min(ends).alias("stop"), F.max("announced").alias("announced"))
     read = pages.drop("announced").join(stops, "race").where(F.col("stop").isNull() | (F.col("page") <= F.col("stop")))
-    seen = read.groupBy("race", "stop", "announced").agg(F.sum(rows).alias("n_read"), F.count("*").alias("n_pages"))
-    whole = (F.col("n_pages") == F.col("stop") + 1) & F.coalesce(F.col("n_read") == F.col("announced"), F.lit(True))
+    seen = read.groupBy("race", "stop", "announced").agg(
+        F.sum(rows).alias("n_read"), F.count("*").alias("n_pages"), F.count_distinct("page").alias("n_different"), F.min("page").alias("first")
+    )
+    whole = (F.col("n_pages") == F.col("stop") + 1) & (F.col("n_different") == F.col("n_pages")) & (F.col("first") == 0)
+    whole = whole & F.coalesce(F.col("n_read") == F.col("announced"), F.lit(True))
+    if owner is not None:
+        seen = seen.join(broken(docs, schema, owner, "race").withColumn("broken", F.lit(True)), "race", "left")
+        whole = whole & F.col("broken").isNull()
     seen = seen.select("race", "n_read", F.col("announced").alias("n_announced"), F.coalesce(whole, F.lit(False)).alias("complete"))
     return read.select("race", "page", "content").join(seen, "race")
 
@@ -64,17 +76,25 @@ def rows_of_complete(pages: DataFrame) -> DataFrame:
     return pages.where("complete").select("race", F.explode("content").alias("row")).select("race", "row.*")
 
 
-def linked_pages(docs: DataFrame, row: str, key: str) -> DataFrame:
+def linked_pages(docs: DataFrame, row: str, key: str, owner: str | None = None) -> DataFrame:
     """Rows of pages that link to the next one; a row that comes again with its ``key`` counts once, at its first place.
 
-    Rows without a key stay. An edition of which no page is the last gives no rows.
+    Rows without a key stay. An edition gives rows only if its pages are whole: 0 to the last, each once, all but the last with a link, and none that
+    couldn't be read (``owner``, an expression of ``source``, tells the edition of those).
     """
-    pages = good(docs, f"edition bigint, page int, value array<struct<{row}>>, `@odata.nextLink` string")
-    ended = pages.where(F.col("`@odata.nextLink`").isNull()).select("edition").distinct()
+    schema = f"edition bigint, page int, value array<struct<{row}>>, `@odata.nextLink` string"
+    pages = good(docs, schema).withColumnRenamed("@odata.nextLink", "link")
+    seen = pages.groupBy("edition").agg(
+        F.count("*").alias("n"), F.count_distinct("page").alias("n_different"), F.min("page").alias("first"), F.max("page").alias("last"),
+        F.count_if(F.col("link").isNull()).alias("n_ends"), F.max_by(F.col("link").isNull(), "page").alias("ended"),
+    )
+    whole = seen.where("n = n_different AND first = 0 AND n = last + 1 AND n_ends = 1 AND ended").select("edition")
+    if owner is not None:
+        whole = whole.join(broken(docs, schema, owner, "edition"), "edition", "left_anti")
     rows = pages.select("edition", "page", F.posexplode("value").alias("_pos", "row")).select("edition", "page", "_pos", "row.*")
     first = F.row_number().over(Window.partitionBy("edition", key).orderBy("page", "_pos"))
     named = rows.where(F.col(key).isNotNull()).withColumn("_n", first).where("_n = 1").drop("_n")
-    return named.unionByName(rows.where(F.col(key).isNull())).join(ended, "edition", "left_semi").drop("page", "_pos")
+    return named.unionByName(rows.where(F.col(key).isNull())).join(whole, "edition", "left_semi").drop("page", "_pos")
 
 
 def nested_event(docs: DataFrame) -> DataFrame:
@@ -149,19 +169,40 @@ def cell_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def html_table(docs: DataFrame) -> DataFrame:
-    """``source, cells``: rows below a table's first one, as maps from heading to text.
+#: The innermost tables of a page, one match each.
+TABLE = r"(?is)<table\b[^>]*>((?:(?!<table\b).)*?)</table\s*>"
 
-    Cells without a heading go, as do rows without cells. The first of equal headings counts.
+
+def html_rows(docs: DataFrame, nth: int = 0) -> DataFrame:
+    """``source, heads, cells, even``: rows of the ``nth`` table of each page that holds no other table; ``even`` if a row has as many cells as the first.
+
+    A page whose table isn't closed, or without any, is read as one table.
     """
-    rows = F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    tables = F.regexp_extract_all("body", F.lit(TABLE), F.lit(1))
+    table = F.when(F.size(tables) > 0, F.get(tables, F.lit(nth))).when(F.lit(nth == 0), F.col("body"))
+    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), cell_text))
     of_all = docs.select("source", cells.alias("all")).where(F.size("all") > 1)
-    of_row = of_all.select("source", F.col("all")[0].alias("heads"), F.explode(F.slice("all", 2, F.size("all"))).alias("row")).where(F.size("row") > 0)
-    pairs = F.arrays_zip(F.col("heads").alias("h"), F.col("row").alias("c"))
+    of_row = of_all.select("source", F.col("all")[0].alias("heads"), F.explode(F.slice("all", 2, F.size("all"))).alias("cells")).where(F.size("cells") > 0)
+    return of_row.withColumn("even", F.size("cells") == F.size("heads"))
+
+
+def html_table(docs: DataFrame, nth: int = 0) -> DataFrame:
+    """``source, cells``: rows below a table's first one, as maps from heading to text.
+
+    Cells without a heading go, as do rows without cells and rows with another number of cells than there are headings, whose cells can't be told apart
+    (`uneven` counts them). The first of equal headings counts.
+    """
+    even = html_rows(docs, nth).where("even")
+    pairs = F.arrays_zip(F.col("heads").alias("h"), F.col("cells").alias("c"))
     numbered = F.transform(pairs, lambda p, k: F.struct(p["h"].alias("h"), p["c"].alias("c"), k.alias("k")))
-    named = F.filter(numbered, lambda p: (F.coalesce(p["h"], F.lit("")) != "") & (F.array_position("heads", p["h"]) == p["k"] + 1))
-    return of_row.select("source", F.map_from_arrays(F.transform(named, lambda p: p["h"]), F.transform(named, lambda p: F.coalesce(p["c"], F.lit("")))).alias("cells"))
+    named = F.filter(numbered, lambda p: (p["h"] != "") & (F.array_position("heads", p["h"]) == p["k"] + 1))
+    return even.select("source", F.map_from_arrays(F.transform(named, lambda p: p["h"]), F.transform(named, lambda p: p["c"])).alias("cells"))
+
+
+def uneven(docs: DataFrame, nth: int = 0) -> DataFrame:
+    """``source, n_uneven``: pages with rows that `html_table` leaves out."""
+    return html_rows(docs, nth).where("NOT even").groupBy("source").agg(F.count("*").alias("n_uneven"))
 
 
 def xored(key: int) -> Callable[[Column], Column]:
@@ -196,8 +237,11 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     """A CSV file with every cell as trimmed text, empty if absent; a column without a heading is ``Colonne N``, counted from 1.
 
     A file that isn't UTF-8 throughout is read as Windows-1252. Equal headings are told apart by `` (2)``, `` (3)``.
-    ``multi_line=False`` lets a large file be split, if no cell has a line break.
+    ``multi_line=False`` lets a large file be split, if no cell has a line break. More than one file is an error, as each has headings and an encoding of
+    its own: `paceline.sources.sheets` reads many files.
     """
+    if len(spark.read.text(path).inputFiles()) > 1:
+        raise ValueError(f"more than one file in {path}")
     valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0] is not False
     read = spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"')
     rows = read.option("encoding", "UTF-8" if valid else "ISO-8859-1").csv(path)

@@ -61,9 +61,38 @@ def test_group_levels(spark):
         landed.group_tree(of, 1).collect()
 
 
+def test_pages_that_dont_close(spark):
+    """A page twice, a hole, a first page that isn't 0, a page that can't be read: none of these races is complete."""
+    page = lambda race, k, last=False: (f"{race}/{k}", f'{{"race": {race}, "page": {k}, "last": {str(last).lower()}, "content": [{{"id": {race * 10 + k}}}]}}')
+    all_ = [page(1, 0), page(1, 0), page(1, 2, True), page(2, 0), page(2, 2, True), page(3, 0), ("3/1", '{"race": 3,'), page(3, 1, True), page(4, 0), page(4, 1, True), page(5, 1), page(5, 2, True), page(6, -1), page(6, 0, True)]
+    pages = landed.numbered_pages(spark.createDataFrame(all_, "source string, body string"), "id bigint", "split_part(source, '/', 1)")
+    assert {r.race: r.complete for r in landed.completeness(pages).collect()} == {1: False, 2: False, 3: False, 4: True, 5: False, 6: False}
+    assert sorted(r.id for r in landed.rows_of_complete(pages).collect()) == [40, 41]
+
+
+def test_links_that_dont_close(spark):
+    def page(e, k, link=None):
+        more = f', "@odata.nextLink": "{link}"' if link else ""
+        return f"{e}/{k}", f'{{"edition": {e}, "page": {k}, "value": [{{"rid": {e * 10 + k}}}, {{"rid": null}}]{more}}}'
+
+    good = [page(1, 0, "x"), page(1, 1, "x"), page(1, 2), page(7, 0)]
+    bad = [page(2, 0, "x"), page(2, 2), page(3, 0, "x"), page(3, 0, "x"), page(3, 1), page(4, 0), page(4, 1), page(5, 0, "x"), page(6, 0, "x"), ("6/1", "{"), page(6, 1)]
+    docs_ = spark.createDataFrame(good + bad, "source string, body string")
+    got = landed.linked_pages(docs_, "rid bigint", "rid", "split_part(source, '/', 1)").collect()
+    assert sorted((r.edition, r.rid or 0) for r in got) == [(1, 0), (1, 0), (1, 0), (1, 10), (1, 11), (1, 12), (7, 0), (7, 70)]
+
+
 def test_html_headings(spark):
-    of = docs(spark, "<table><tr><th>A</th><th>A</th><th></th><th>B</th></tr><tr><td>1&amp;lt;</td><td>2</td><td>3</td></tr><tr></tr></table>", None)
-    assert [r.cells for r in landed.html_table(of).collect()] == [{"A": "1&lt;", "B": ""}]
+    of = docs(spark, "<table><tr><th>A</th><th>A</th><th></th><th>B</th></tr><tr><td>1&amp;lt;</td><td>2</td><td>3</td><td>4</td></tr><tr><td>5</td></tr><tr></tr></table>", None)
+    assert [r.cells for r in landed.html_table(of).collect()] == [{"A": "1&lt;", "B": "4"}]
+    assert [tuple(r) for r in landed.uneven(of).collect()] == [(0, 1)]
+
+
+def test_several_tables(spark):
+    one_ = "<table class=a><tr><th>{0}</th></tr><tr><td>{1}</td></tr></table>".format
+    of = docs(spark, f"<p>{one_('A', 1)}{one_('B', 2)}", f"<TABLE><tr><td>menu</td></tr><tr><td>{one_('C', 3)}</td></tr></TABLE>", "<tr><th>D</th></tr><tr><td>4</td></tr>")
+    assert [r.cells for r in landed.html_table(of).orderBy("source").collect()] == [{"A": "1"}, {"C": "3"}, {"D": "4"}]
+    assert [r.cells for r in landed.html_table(of, 1).collect()] == [{"B": "2"}]
 
 
 @pytest.mark.parametrize(
