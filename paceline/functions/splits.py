@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paceline.functions.text import of
+from paceline.functions.text import of, strip_accents
 from paceline.functions.times import format_seconds
 
 #: What the five slots are called in each sport; slots that aren't named are left out.
@@ -28,6 +28,21 @@ KEYS = {
 #: Sports whose names have a dash of their own.
 DASHED = ("bike-run", "course-a-pied", "swim-bike", "cross-triathlon", "raid-multisport")
 SPLITS = "array<struct<label:string,time:string>>"
+#: The legs that are shown of each sport, with their titles; what words in a source's own label tell its kind, the first that is found.
+SHOWN = {
+    "duathlon": (("course1", "Course 1", "run"), ("t1", "T1", "transition"), ("bike", "Vélo", "bike"), ("t2", "T2", "transition"), ("course2", "Course 2", "run")),
+    "bike-run": (("bike", "Vélo", "bike"), ("run", "Course", "run")),
+    "aquathlon": (("swim", "Natation", "swim"), ("run", "Course", "run")),
+    "aquarun": (("swim", "Natation", "swim"), ("t1", "T1", "transition"), ("run", "Course", "run")),
+    "triathlon": (("swim", "Natation", "swim"), ("t1", "T1", "transition"), ("bike", "Vélo", "bike"), ("t2", "T2", "transition"), ("run", "Course", "run")),
+}
+LABEL_WORDS = (
+    ("transition", r"^t\d+$|transition"),
+    ("swim", "nat|swim"),
+    ("bike", "velo|bike|cycl"),
+    ("run", "course|run|pied|cap"),
+)
+SHOWN_TYPE = "array<struct<key:string,label:string,kind:string>>"
 
 
 def sport_of_slug(c: Column | str) -> Column:
@@ -138,3 +153,36 @@ def of_seconds(labels: Column, seconds: Column) -> Column:
         F.zip_with(labels, seconds, lambda a, b: F.struct(a.alias("label"), F.when(b > 0, format_seconds(b)).alias("time"))),
         lambda s: s["time"].isNotNull(),
     )
+
+
+def shown_sport(slug: Column | str) -> Column:
+    """The sport whose legs are shown: any duathlon, a sport that is named exactly, else triathlon."""
+    text = F.coalesce(of(slug), F.lit(""))
+    return F.when(text.startswith("duathlon"), "duathlon").when(text.isin("bike-run", "aquathlon", "aquarun"), text).otherwise("triathlon")
+
+
+def label_kind(label: Column | str) -> Column:
+    """The kind that the words of a source's own label tell, else ``other``."""
+    text = F.lower(strip_accents(of(label)))
+    return F.coalesce(*(F.when(text.rlike(pattern), F.lit(kind)) for kind, pattern in LABEL_WORDS), F.lit("other"))
+
+
+def shown_columns(slug: Column | str, keys: Column | str) -> Column:
+    """Legs ``key, label, kind`` that are shown of a course with splits ``keys``: those of its sport, or, if it has none of them, its own labels in their order."""
+    keys = of(keys)
+    sport = shown_sport(slug)
+    template = F.when(F.lit(False), F.array().cast(SHOWN_TYPE))
+    for name, legs in SHOWN.items():
+        entries = [F.struct(F.lit(k).alias("key"), F.lit(t).alias("label"), F.lit(kind).alias("kind")) for k, t, kind in legs]
+        template = template.when(sport == name, F.array(*entries).cast(SHOWN_TYPE))
+    expected = F.filter(template, lambda e: F.array_contains(keys, e["key"]))
+    own = F.transform(keys, lambda k: F.struct(k.alias("key"), k.alias("label"), label_kind(k).alias("kind")))
+    return F.when(F.size(expected) > 0, expected).otherwise(own.cast(SHOWN_TYPE))
+
+
+def shown_splits(slug: Column | str, splits: Column | str) -> Column:
+    """Legs ``key, label, kind, time`` that are shown of a participation; splits without a time aren't."""
+    kept = present(of(splits).cast(SPLITS))
+    legs = shown_columns(slug, F.transform(kept, lambda s: s["label"]))
+    time = lambda e: F.get(F.filter(kept, lambda s: s["label"] == e["key"]), F.lit(0))["time"]
+    return F.transform(legs, lambda e: F.struct(e["key"].alias("key"), e["label"].alias("label"), e["kind"].alias("kind"), time(e).alias("time")))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.functions import splits
+from paceline.functions.columns import column_roles, require
 from paceline.operators import chains, reclassification
 from paceline.plans.bindings import WITH, Tables, query
+from paceline.sources import heats, landed, sheets
 
 #: Whole legs one after the other; a lap beside the third; a short cut over the first two; a way back to the first checkpoint.
 CHAIN_SQL = """
@@ -87,3 +90,109 @@ count(*) FILTER (distance_km IS NULL AND name NOT LIKE 'Tri%') AS distances FROM
 )
 def reclassification_changes(t: Tables) -> DataFrame:
     return reclassification.changes(old_courses(t))
+
+
+def heat_pages(t: Tables) -> DataFrame:
+    """An index page for each course: its categories as heats in alphabetical order, after a prompt; one course in nine has no list."""
+    names = t.parts.where("trim(category) <> ''").select("course_id", "category").distinct()
+    option = F.concat(F.lit('<el-option value="'), F.translate("category", " ", "_"), F.lit('" x><span> '), F.replace("category", F.lit("-"), F.lit("&amp;")), F.lit("</span></el-option>"))
+    of = names.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("category", option.alias("o")))).alias("os"))
+    options = F.array_join(F.transform("os", lambda x: x["o"]), "\n")
+    page = F.concat(F.lit('<select name="sex"><option value="F">F</option></select><el-select id=1 name="heat"><el-option value=""><span>?</span></el-option>'), options, F.lit("</el-select>"))
+    return of.select(F.col("course_id").alias("source"), F.when(F.col("course_id") % 9 == 0, F.lit("<p>aucune</p>")).otherwise(page).alias("body"))
+
+
+HEATS = """WITH heats AS (SELECT course_id AS source, (row_number() OVER (PARTITION BY course_id ORDER BY category) - 1)::INT AS seq, translate(category, ' ', '_') AS slug, replace(category, '-', '&') AS label, category
+FROM (SELECT DISTINCT course_id, category FROM parts WHERE trim(category) <> '' AND course_id % 9 <> 0))"""
+
+
+@query(HEATS + " SELECT source, seq, slug, trim(label) AS label FROM heats")
+def heat_enumeration(t: Tables) -> DataFrame:
+    return heats.listed(heat_pages(t))
+
+
+@query(
+    HEATS
+    + """, u AS (SELECT h.*, CASE WHEN (h.source + seq) % 7 = 0 THEN 'cached' WHEN (h.source + seq) % 5 IN (0, 1) THEN 'failed' ELSE 'imported' END AS state FROM heats h)
+SELECT u.source, count(DISTINCT u.seq) AS enumerated, count(DISTINCT seq) FILTER (state = 'imported') AS imported, count(DISTINCT seq) FILTER (state = 'cached') AS cached, count(DISTINCT seq) FILTER (state = 'failed') AS failed,
+count(*) FILTER (state = 'imported') AS n_rows FROM u JOIN parts p ON p.course_id = u.source AND p.category = u.category GROUP BY 1"""
+)
+def heat_units(t: Tables) -> DataFrame:
+    """Of the heats one in seven is fresh; of the others one in five has no document and one in five a document that is cut short."""
+    listed = heats.listed(heat_pages(t))
+    body = F.to_json(F.collect_list(F.struct("id", F.col("bib_number").alias("bib"))))
+    docs = t.parts.groupBy(F.col("course_id").alias("source"), F.translate("category", " ", "_").alias("slug")).agg(body.alias("body"))
+    place = docs.join(listed.select("source", "slug", "seq"), ["source", "slug"])
+    k = (F.col("source") + F.col("seq")) % 5
+    docs = place.where(k != 0).select("source", "slug", F.when(k == 1, F.substring("body", 1, 9)).otherwise(F.col("body")).alias("body"))
+    fresh = listed.where((F.col("source") + F.col("seq")) % 7 == 0)
+    out = heats.units(listed, docs, fresh, "id bigint, bib string")
+    return heats.trace(out).join(out.groupBy("source").agg(F.sum(F.coalesce(F.size("rows"), F.lit(0))).alias("n_rows")), "source")
+
+
+@query("SELECT id::VARCHAR AS id, trim(coalesce(club, '')) AS club, course_id % 10 = 9 AS failed FROM parts WHERE course_id % 10 <> 9 UNION ALL SELECT DISTINCT NULL, NULL, TRUE FROM parts WHERE course_id % 10 = 9")
+def sheet_files(t: Tables) -> DataFrame:
+    """Files of each course, in UTF-8 or Windows-1252, of which those of one course in ten aren't what their names say."""
+    cell = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'))
+    line = F.concat_ws(",", cell("id"), cell("club"))
+    of = t.parts.groupBy("course_id").agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    text = F.concat(F.lit("Numéro,\n"), "lines")
+    content = F.when(F.col("course_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+    name = F.when(F.col("course_id") % 10 == 9, F.lit("x.xlsx")).otherwise(F.concat(F.col("course_id").cast("string"), F.lit(".CSV")))
+    out = sheets.sheet_rows(of.select(name.alias("source"), content.alias("content")))
+    good = sheets.as_maps(out).select(F.col("cells")["Numéro"].alias("id"), F.col("cells")["Colonne 2"].alias("club"), F.lit(False).alias("failed"))
+    return good.unionByName(out.where("failure IS NOT NULL").select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("club"), F.lit(True).alias("failed")).distinct())
+
+
+#: Columns of two kinds of lists: expression and label; the data rows have two columns more in front.
+LISTS = (
+    (("\"#\"&[BIB]", "N°"), ("if([STATUS]<>2;ucase([AfficherNom]))", "Nom"), ("[Club]", "Club"), ("OuStatut([Temps])", "Temps"), ("[Vélo]", "Vélo"), ("[Vélo.OVERALL.P]", "Rg")),
+    (("[Vélo]", " Vélo "), ("switch([A]=1;[Finish.GUN];\"x\")", "Chrono"), ("ucase([CLUB]) & iif([X]>1;\" (1.)\")", "Club"), ("[Icone]&[Y]", ""), ("trim(lcase([LFNAME]))", "Coureur"), ("[Club2]", "Club bis")),
+)
+
+
+@query(
+    "SELECT p.id, CASE WHEN p.id % 3 = 0 THEN NULL ELSE 'N ' || p.id::VARCHAR END AS name, p.club, p.total_time AS time, 'Vélo' AS segment, CASE WHEN regexp_matches(b.t, '^[0-9]+:[0-9]{2}:[0-9]{2}$') THEN b.t END AS segment_time "
+    "FROM parts p JOIN (SELECT id, CASE WHEN id % 4 = 0 THEN 'DNF' ELSE '0:' || lpad((id % 60)::VARCHAR, 2, '0') || ':07' END AS t FROM parts) b ON b.id = p.id"
+)
+def rows_by_role(t: Tables) -> DataFrame:
+    """Lists of two kinds with other columns in another order; each row is read by the roles of its list's columns."""
+    name = F.when(F.col("id") % 3 != 0, F.concat(F.lit("N "), F.col("id").cast("string")))
+    bike = F.when(F.col("id") % 4 == 0, "DNF").otherwise(F.concat(F.lit("0:"), F.lpad((F.col("id") % 60).cast("string"), 2, "0"), F.lit(":07")))
+    own, no = F.col("id").cast("string"), F.lit(None).cast("string")
+    data = (F.array(own, no, F.lit("#1"), name, "club", "total_time", bike, F.lit("2.")), F.array(own, no, bike, F.col("total_time"), F.col("club"), F.lit("*"), name, F.lit("other")))
+    parts = []
+    for kind, (columns, row) in enumerate(zip(LISTS, data, strict=True)):
+        rows = t.parts.where(f"course_id % 2 = {kind}").groupBy("course_id").agg(F.collect_list(row).alias("data"))
+        fields = F.array(*(F.struct(F.lit(e).alias("Expression"), F.lit(x).alias("Label")) for e, x in columns))
+        names = F.array(F.lit("ID"), F.lit("BIB"), *(F.lit(e) for e, _ in columns))
+        parts.append(rows.select(F.col("course_id").alias("source"), F.to_json(F.struct(names.alias("DataFields"), F.struct(fields.alias("Fields")).alias("list"), "data")).alias("body")))
+    out = landed.by_role(parts[0].unionByName(parts[1]), ("name", "club", "time"), {"id": "ID"})
+    segment = F.get("segments", F.lit(0))
+    return out.select(F.col("id").cast("bigint").alias("id"), "name", "club", "time", segment["label"].alias("segment"), segment["time"].alias("segment_time"))
+
+
+#: Legs shown of each sport, as a table.
+TEMPLATE = ", ".join(f"('{sport}', {k}, '{key}', '{label}', '{kind}')" for sport, legs in splits.SHOWN.items() for k, (key, label, kind) in enumerate(legs))
+
+
+@query(
+    f"""WITH template(sport, pos, key, label, kind) AS (VALUES {TEMPLATE}),
+    own AS (SELECT s.id, s.pos, CASE WHEN s.id % 5 = 0 THEN CASE s.label WHEN 'swim' THEN 'NATATION' WHEN 'bike' THEN 'Vélo 1' WHEN 'run' THEN 'Course à pied' WHEN 't1' THEN 'T1' ELSE 'Étape ' || s.label END ELSE s.label END AS key,
+        CASE WHEN c.event_type LIKE 'duathlon%' THEN 'duathlon' WHEN c.event_type IN ('bike-run', 'aquathlon', 'aquarun') THEN c.event_type ELSE 'triathlon' END AS sport
+        FROM splits s JOIN parts p ON p.id = s.id JOIN courses c ON c.id = p.course_id WHERE s.seconds IS NOT NULL),
+    met AS (SELECT o.id, t.pos, t.key, t.label, t.kind FROM own o JOIN template t ON t.sport = o.sport AND t.key = o.key),
+    rest AS (SELECT id, pos, key, key AS label, CASE WHEN lower(key) = 't1' THEN 'transition' WHEN key = 'NATATION' OR key LIKE '%swim%' THEN 'swim' WHEN key LIKE 'Vélo%' OR key LIKE '%bike%' THEN 'bike'
+        WHEN key LIKE 'Course%' OR key LIKE '%run%' THEN 'run' WHEN regexp_matches(key, '^t[0-9]+$') THEN 'transition' ELSE 'other' END AS kind FROM own WHERE id NOT IN (SELECT id FROM met)),
+    both_ AS (SELECT * FROM met UNION ALL SELECT * FROM rest)
+    SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS place, key, label, kind FROM both_"""
+)
+def shown_legs(t: Tables) -> DataFrame:
+    """Splits as they are shown; one participation in five has its source's own labels."""
+    renamed = {"swim": "NATATION", "bike": "Vélo 1", "run": "Course à pied", "t1": "T1"}
+    label = lambda s: F.coalesce(*(F.when(s["label"] == k, v) for k, v in renamed.items()), F.concat(F.lit("Étape "), s["label"]))
+    own = F.transform("splits", lambda s: F.struct(label(s).alias("label"), s["time"].alias("time")))
+    of = t.timed_parts.select("id", "course_id", F.when(F.col("id") % 5 == 0, own).otherwise(F.col("splits")).alias("splits"))
+    of = of.join(t.courses.select(F.col("id").alias("course_id"), "event_type"), "course_id")
+    out = of.select("id", F.posexplode(splits.shown_splits("event_type", "splits")).alias("place", "s"))
+    return out.select("id", "place", "s.key", "s.label", "s.kind")

@@ -7,7 +7,7 @@ A null or malformed body gives no rows; `json_documents` names such documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paceline.functions.columns import DURATION, column_roles, require
 from paceline.functions.splits import of_seconds
 from paceline.runtime import ship
 
@@ -34,7 +35,12 @@ def json_documents(docs: DataFrame, schema: str) -> DataFrame:
 
 
 def good(docs: DataFrame, schema: str) -> DataFrame:
-    return json_documents(docs, schema).where(~F.col("failed")).select("doc.*").drop("_bad")
+    return good_of(docs, schema).drop("source")
+
+
+def good_of(docs: DataFrame, schema: str) -> DataFrame:
+    """``source`` and the fields of the documents that can be read."""
+    return json_documents(docs, schema).where(~F.col("failed")).select("source", "doc.*").drop("_bad")
 
 
 def broken(docs: DataFrame, schema: str, owner: str, name: str) -> DataFrame:
@@ -121,6 +127,25 @@ def positional(docs: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return rows.select(*(cell(field).alias(column) for column, field in wanted.items()))
 
 
+def by_role(docs: DataFrame, wanted: Sequence[str], fixed: dict[str, str]) -> DataFrame:
+    """``source``, ``wanted`` roles, ``fixed`` columns (by the name of their field) and ``segments`` of documents that publish their columns as expressions.
+
+    A row's cell of a role stands where the document's field of that role stands in ``DataFields``. A document that lacks one of the wanted roles is an error that names it.
+    Segments are ``label, time``, without a time where the cell is no duration.
+    """
+    lists = good_of(docs, "DataFields array<string>, list struct<Fields: array<struct<Expression: string, Label: string>>>, data array<array<string>>")
+    fields = lists.select("source", "DataFields", F.posexplode("list.Fields").alias("seq", "f"))
+    at = F.array_position("DataFields", F.col("f.Expression"))
+    roles = column_roles(fields.select("source", "seq", F.col("f.Expression").alias("expression"), F.col("f.Label").alias("label"), F.when(at > 0, (at - 1).cast("int")).alias("at")))
+    rows = lists.select("source", "DataFields", F.explode("data").alias("row")).join(require(roles, wanted), "source", "left")
+    none = F.raise_error(F.concat(F.lit("no columns in "), F.col("source").cast("string"))).cast("map<string,int>")
+    rows = rows.withColumn("places", F.coalesce("places", none))
+    cell = lambda k: F.get("row", k)
+    named = [F.get("row", F.array_position("DataFields", F.lit(field)).cast("int") - 1).alias(column) for column, field in fixed.items()]
+    segment = F.transform("segments", lambda s: F.struct(s["label"].alias("label"), F.when(cell(s["at"]).rlike(DURATION), cell(s["at"])).alias("time")))
+    return rows.select("source", *named, *(cell(F.col("places")[r]).alias(r) for r in wanted), segment.alias("segments"))
+
+
 def group_tree(docs: DataFrame, depth: int = 4) -> DataFrame:
     """``source, labels, row``: rows of groups that lie in groups, lists at any level, with the labels that lead to them.
 

@@ -1,10 +1,16 @@
 """Chains, reclassification, sub-units, column roles, streams and snapshots on literal rows and against plain loops."""
 
+import json
 import random
+import zipfile
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from paceline.functions import columns, splits
 from paceline.operators import chains, reclassification
+from paceline.sources import heats, landed, sheets
 
 
 def chain_of(spark, *edges):
@@ -64,3 +70,120 @@ def test_reclassification_against_a_loop(spark):
     assert {r.id: r.course_id for r in reclassification.moved_parts(parts, courses).collect()} == home
     assert reclassification.changes(courses).first().changed == changed
     assert reclassification.reclassified(courses.limit(0)).count() == 0
+
+
+CELLS = """<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Lien</t></is></c><c r="D1" t="s"><v>1</v></c></row>
+<row r="2"><c r="A2"><v>12</v></c><c r="B2" t="str"><f>CONCAT("a","b")</f><v> ab </v></c><c r="C2" t="b"><v>1</v></c><c r="D2"><v>1.5</v></c></row>
+<row r="4"><c r="A4" s="1"><v>45292.5</v></c><c t="e"><v>#N/A</v></c><c r="D4" s="2"><v>0.5</v></c></row>"""
+TWIN = "Numéro,Lien,,Deux mots\n12,ab,True,1.5\n,,,\n2024-01-01 12:00:00,#N/A,,12:00:00\n"
+
+
+def workbook(path, cells=CELLS):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main}><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="x" sheetId="1" r:id="rId7"/><sheet name="y" sheetId="2" r:id="rId8"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId7" Target="worksheets/sheet1.xml"/><Relationship Id="rId8" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Numéro</t></si><si><r><t>Deux</t></r><r><t> mots</t></r><rPh><t>yomi</t></rPh></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="hh:mm:ss"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
+
+
+def test_workbooks_and_tables_in_one_folder(spark, tmp_path):
+    """A workbook equals its CSV twin; files of other headings and encodings, broken and empty ones lie beside them."""
+    workbook(tmp_path / "a.xlsx")
+    workbook(tmp_path / "empty.xlsx", "")
+    (tmp_path / "b.csv").write_bytes(TWIN.encode("utf-8-sig"))
+    (tmp_path / "c.CSV").write_bytes("Prénom;x,Prénom;x\n€,é,dropped\n\n1\n".encode("cp1252"))
+    (tmp_path / "d.xlsx").write_bytes(b"no zip")
+    (tmp_path / "e.txt").write_bytes(b"a")
+    (tmp_path / "f.csv").write_bytes(b"")
+    got = {}
+    for r in sheets.read_sheets(spark, str(tmp_path)).orderBy("source", "n").collect():
+        got.setdefault(r.source.rpartition("/")[2], []).append((r.heads, r.cells, (r.failure or "").partition(":")[0]))
+    heads = ["Numéro", "Lien", "Colonne 3", "Deux mots"]
+    rows = [["12", "ab", "True", "1.5"], [""] * 4, ["2024-01-01 12:00:00", "#N/A", "", "12:00:00"]]
+    assert got.pop("a.xlsx") == got.pop("b.csv") == [(heads, r, "") for r in rows]
+    assert got.pop("c.CSV") == [(["Prénom;x", "Prénom;x (2)"], r, "") for r in (["€", "é"], ["1", ""])]
+    assert got == {"d.xlsx": [(None, None, "BadZipFile")], "e.txt": [(None, None, "ValueError")]}
+    assert sheets.as_maps(sheets.read_sheets(spark, str(tmp_path / "c.CSV"))).first().cells == {"Prénom;x": "€", "Prénom;x (2)": "é"}
+    with pytest.raises(ValueError, match="more than one file"):
+        landed.read_table(spark, str(tmp_path))
+
+
+def test_heats_are_partitions(spark, tmp_path):
+    """Of ten heats one is broken and one is fresh: eight are read, one failure is a row."""
+    options = "".join(f'<el-option value="h{k}"><span> Heat&nbsp;{k} </span></el-option>' for k in range(10))
+    (tmp_path / "index.html").write_text(f'<select name="x"><option value="no">no</option></select><el-select name="heat"><el-option value=""><span>?</span></el-option>{options}</el-select>')
+    for k in range(10):
+        (tmp_path / f"h{k}.json").write_text('[{"bib": ' if k == 3 else json.dumps([{"bib": k, "time": None}, {"bib": k + 100}]))
+    spark.dataSource.register(heats.HeatSource)
+    df = spark.read.format("heats").option("path", str(tmp_path)).option("fresh", "h5, gone").load()
+    assert df.rdd.getNumPartitions() == 9
+    got = df.collect()
+    assert sorted({r.heat for r in got if r.failure is None}) == [f"h{k}" for k in (0, 1, 2, 4, 6, 7, 8, 9)] and sum(r.failure is None for r in got) == 16
+    assert [(r.heat, r.label, r.seq, r.cells) for r in got if r.failure] == [("h3", "Heat 3", 3, None)]
+    assert next(r.cells for r in got if r.heat == "h1") == {"bib": "1", "time": None}
+    assert spark.read.format("heats").option("path", str(tmp_path)).option("fresh", ",".join(f"h{k}" for k in range(10))).load().count() == 0
+
+
+def test_units_without_documents(spark):
+    listed = spark.createDataFrame([(1, 0, "a", "A"), (1, 1, "b", "B"), (1, 2, "c", "C"), (2, 0, "a", "A")], "source int, seq int, slug string, label string")
+    docs = spark.createDataFrame([(1, "a", "["), (1, "a", '[{"n": 1}]'), (1, "c", '[{"n": 2}]'), (2, "z", "[]"), (2, "a", None)], "source int, slug string, body string")
+    out = heats.units(listed, docs, spark.createDataFrame([(1, "c"), (1, "c")], "source int, slug string"), "n int")
+    assert sorted((r.source, r.slug, r.state, r.rows and len(r.rows)) for r in out.collect()) == [(1, "a", "imported", 1), (1, "b", "failed", None), (1, "c", "cached", None), (2, "a", "failed", None)]
+    assert sorted(tuple(r) for r in heats.trace(out).collect()) == [(1, 3, 1, 1, 1), (2, 1, 0, 0, 1)]
+
+
+@pytest.mark.parametrize(
+    "expression, plain",
+    [
+        ("[Natation]", "natation"), ("Vélo", "velo"), ("", ""), (None, ""),
+        ('"#"&[BIB]', "bib"), ('ucase([SEX]) & iif([R]>0;" (" & [R] & ")")', "sex"),
+        ('if([STATUS]<>2;[Vélo] & " (" & [Vélo.OVERALL.P] & ")")', "velo"),
+        ("if([Relais]=1;switch(a;b);[AfficherNom])", "affichernom"), ("if([A]=1;if([B]=2;[C];[Deed]))", "deed"),
+        ("OuStatut ( trim([Temps]) )", "temps"), ('icone("photos")', 'icone("photos")'), ("#[ClassementMF.p][SexeMF]", "classementmf.psexemf"),
+    ],
+)
+def test_reduced_expressions(expression, plain):
+    assert columns.plain(expression) == plain
+
+
+def test_turns_are_limited(monkeypatch):
+    monkeypatch.setattr(columns, "TURNS", 3)
+    nested = "[Club]"
+    for _ in range(5):
+        nested = f'if([A]=1;{nested} & " z")'
+    with pytest.raises(ValueError, match="still changes"):
+        columns.reduced(nested)
+    monkeypatch.undo()
+    assert columns.plain(nested) == "club"
+
+
+def test_column_roles(spark):
+    of = lambda *f: spark.createDataFrame([("L", k, e, x, at) for k, (e, x, at) in enumerate(f)], "source string, seq int, expression string, label string, at int")
+    got = columns.column_roles(of(("[NomRelais]", "Team", 3), ("AfficherNom", "Nom", 4), ("[Velo]", "Vélo", 5), ("[Finish.GUN]", "T", 6), ("CustomFlag", "Nat.", 7), ("[Natation.P]", "Rg", 8), ("[AgeGroup]", "", 9), ("[x]", "Gone", None)))
+    assert sorted((r.role, r.at) for r in got.collect()) == [("category", 9), ("extra", 4), ("extra", 7), ("name", 3), ("rank_category", 9), ("segment", 5), ("time", 6)]
+    assert columns.require(got, ["name", "time"]).first().places["time"] == 6
+    with pytest.raises(PySparkException, match="columns missing in L: club, gender"):
+        columns.require(got, ["name", "club", "gender"]).collect()
+    assert columns.column_roles(of(("[a]", "A", 0)).limit(0)).count() == 0
+
+
+def test_lists_without_a_column(spark):
+    body = json.dumps({"DataFields": ["ID", "[Club]"], "list": {"Fields": [{"Expression": "[Club]", "Label": "C"}]}, "data": [["1", "X"]]})
+    docs = spark.createDataFrame([("s", body)], "source string, body string")
+    assert [(r.id, r.club) for r in landed.by_role(docs, ["club"], {"id": "ID"}).collect()] == [("1", "X")]
+    with pytest.raises(PySparkException, match="columns missing in s: time"):
+        landed.by_role(docs, ["club", "time"], {}).collect()
+
+
+def test_shown_legs(spark):
+    of = spark.createDataFrame([("duathlon-s", ["bike", "course1", "x"]), ("aquathlon", ["t1"]), (None, ["Étape T1", "T2", "À pied", "Cyclo", "Nage"]), ("trail", [])], "slug string, keys array<string>")
+    got = [[(e.key, e.label, e.kind) for e in r.c] for r in of.select(splits.shown_columns("slug", "keys").alias("c")).collect()]
+    assert got == [
+        [("course1", "Course 1", "run"), ("bike", "Vélo", "bike")],
+        [("t1", "t1", "transition")],
+        [("Étape T1", "Étape T1", "other"), ("T2", "T2", "transition"), ("À pied", "À pied", "run"), ("Cyclo", "Cyclo", "bike"), ("Nage", "Nage", "other")],
+        [],
+    ]
