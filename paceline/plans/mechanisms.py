@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import splits
 from paceline.functions.columns import column_roles, require
-from paceline.operators import chains, reclassification
+from paceline.operators import chains, reclassification, switch
 from paceline.plans.bindings import WITH, Tables, query
 from paceline.sources import heats, landed, sheets
+from paceline.streaming import landings
 
 #: Whole legs one after the other; a lap beside the third; a short cut over the first two; a way back to the first checkpoint.
 CHAIN_SQL = """
@@ -196,3 +201,61 @@ def shown_legs(t: Tables) -> DataFrame:
     of = of.join(t.courses.select(F.col("id").alias("course_id"), "event_type"), "course_id")
     out = of.select("id", F.posexplode(splits.shown_splits("event_type", "splits")).alias("place", "s"))
     return out.select("id", "place", "s.key", "s.label", "s.kind")
+
+
+#: The course whose source is switched, and the source; the fresh ranking is that of another course, under the identity that most of its rows publish.
+COURSE, SOURCE, LIKE = 8, 136, 15
+
+
+def after_switch(t: Tables) -> dict[str, DataFrame]:
+    course = t.courses.where(F.col("id") == COURSE).select("name", "event_date", "event_type", F.col("is_relay").alias("course_relay"))
+    other = F.col("id") % 4 == 0
+    fresh = t.parts.where(F.col("course_id") == LIKE).join(course, F.lit(True)).withColumn("event_type", F.when(other, "trail").otherwise(F.col("event_type")))
+    tables = {"parts": t.parts, "courses": t.courses, "sources": t.sources, "athletes": t.athletes}
+    assert switch.refusal(t.courses, fresh, COURSE) is None
+    return switch.switched(tables, fresh, COURSE, SOURCE)
+
+
+SWITCHED = f"""WITH own AS (SELECT * FROM parts WHERE course_id = {LIKE} AND (id % 4 <> 0 OR (SELECT event_type FROM courses WHERE id = {COURSE}) = 'trail')),
+new AS (SELECT id, course_id, athlete_id FROM parts WHERE course_id <> {COURSE} UNION ALL SELECT id, {COURSE}, athlete_id FROM own),
+gone AS (SELECT DISTINCT athlete_id FROM parts WHERE course_id = {COURSE} AND athlete_id NOT IN (SELECT athlete_id FROM new))
+"""
+
+
+@query(SWITCHED + "SELECT id, course_id, athlete_id FROM new")
+def source_switch(t: Tables) -> DataFrame:
+    return after_switch(t)["parts"].select("id", "course_id", "athlete_id")
+
+
+@query(
+    SWITCHED
+    + f"""SELECT 'course.source.switch' AS action, {COURSE}::BIGINT AS entity_id, (SELECT min(url) FROM sources WHERE course_id = {COURSE} AND is_active) AS previous_url, (SELECT min(url) FROM sources WHERE id = {SOURCE}) AS new_url,
+    (SELECT count(*) FROM parts WHERE course_id = {COURSE}) AS n_deleted, (SELECT count(*) FROM own) AS n_imported, (SELECT count(*) FROM gone) AS n_purged, (SELECT count(*) FROM athletes WHERE id NOT IN (SELECT athlete_id FROM gone)) AS n_athletes,
+    (SELECT count(*) FILTER (CASE WHEN course_id = (SELECT min(course_id) FROM sources WHERE id = {SOURCE}) THEN id = {SOURCE} ELSE is_active END) FROM sources) AS n_active"""
+)
+def source_switch_log(t: Tables) -> DataFrame:
+    after = after_switch(t)
+    people, active = after["athletes"].agg(F.count("*").alias("n_athletes")), after["sources"].agg(F.count_if("is_active").alias("n_active"))
+    return after["log"].join(people, F.lit(True)).join(active, F.lit(True))  # single rows
+
+
+TTL = dt.timedelta(days=3)
+
+
+@query(
+    "WITH RECURSIVE"
+    + WITH[4:]
+    + """taken AS (SELECT user_id, min(ts) AS ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1
+    UNION ALL SELECT user_id, ts FROM (SELECT t.user_id, e.ts, row_number() OVER (PARTITION BY t.user_id ORDER BY e.ts) AS k FROM taken t JOIN events e ON e.user_id = t.user_id AND e.ts >= t.ts + INTERVAL 3 DAY) WHERE k = 1)
+    SELECT user_id::VARCHAR AS address, ts AS read_at FROM taken""",
+    bare=True,
+)
+def fresh_landings(t: Tables) -> DataFrame:
+    """The events table as a stream of landings, users as addresses: of each the first, and then each that comes three days or more after the one accepted before."""
+    spark = t.spark
+    stream = spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    stream = stream.select(F.col("user_id").cast("string").alias("address"), F.col("ts").cast("timestamp").alias("read_at"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paceline-")
+    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    landings.import_landed(landings.fresh_only(stream, TTL), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").withColumn("read_at", F.col("read_at").cast("timestamp_ntz"))

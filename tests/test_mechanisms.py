@@ -1,5 +1,6 @@
 """Chains, reclassification, sub-units, column roles, streams and snapshots on literal rows and against plain loops."""
 
+import datetime as dt
 import json
 import random
 import zipfile
@@ -9,8 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from paceline.functions import columns, splits
-from paceline.operators import chains, reclassification
-from paceline.sources import heats, landed, sheets
+from paceline.operators import chains, reclassification, switch
+from paceline.sources import heats, landed, sheets, snapshots
+from paceline.streaming import landings
 
 
 def chain_of(spark, *edges):
@@ -187,3 +189,87 @@ def test_shown_legs(spark):
         [("Étape T1", "Étape T1", "other"), ("T2", "T2", "transition"), ("À pied", "À pied", "run"), ("Cyclo", "Cyclo", "bike"), ("Nage", "Nage", "other")],
         [],
     ]
+
+
+DAY = dt.timedelta(days=1)
+
+
+def land(path, name, *rows):
+    lines = [json.dumps({"address": a, "read_at": None if day is None else f"2024-01-{day:02d}T12:00:00", "body": body}) for a, day, body in rows]
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("\n".join(lines))
+
+
+def imported(spark, source, to, state):
+    stream = landings.parsed(landings.fresh_only(landings.landings(spark, source), DAY * 7, "30 days"), "n int")
+    landings.import_landed(stream, to, state).awaitTermination()
+    return sorted((r.address, r.read_at.day, r.doc and r.doc.n, r.failed) for r in spark.read.parquet(to).collect())
+
+
+def test_fresh_addresses_across_batches(spark, tmp_path):
+    """Two batches give the rows of one; started again, nothing is imported twice; what can't be read is a failure."""
+    first = [("a", 1, '{"n": 1}'), ("a", 3, '{"n": 2}'), ("b", 2, '{"n"'), (None, 2, "{}"), ("c", None, "{}"), ("a", 1, '{"n": 1}')]
+    second = [("a", 7, '{"n": 3}'), ("a", 8, '{"n": 4}'), ("b", 20, '{"n": 5}'), ("d", 4, '{"n": 6}'), ("a", 2, '{"n": 7}')]
+    wanted = [("a", 1, 1, False), ("a", 8, 4, False), ("b", 2, None, True), ("b", 20, 5, False), ("d", 4, 6, False)]
+    at = {k: str(tmp_path / k) for k in ("two", "one", "out2", "out1", "state2", "state1")}
+    land(tmp_path / "two", "1.json", *first)
+    assert imported(spark, at["two"], at["out2"], at["state2"]) == [w for w in wanted if w[:2] in (("a", 1), ("b", 2))]
+    land(tmp_path / "two", "2.json", *second)
+    assert imported(spark, at["two"], at["out2"], at["state2"]) == wanted
+    assert imported(spark, at["two"], at["out2"], at["state2"]) == wanted
+    land(tmp_path / "one", "1.json", *first, *second)
+    assert imported(spark, at["one"], at["out1"], at["state1"]) == wanted
+
+
+PARTS = "id int, course_id int, athlete_id int, bib_number string, total_time string"
+
+
+def event_tables(spark):
+    of = spark.createDataFrame
+    courses = of([(1, "Tri", None, "triathlon", False), (2, "Duo", dt.date(2024, 5, 1), "duathlon", True)], "id int, name string, event_date date, event_type string, is_relay boolean")
+    parts = of([(1, 1, 10, "1", "1:00:00"), (2, 1, 11, "2", None), (3, 2, 11, "1", "x"), (4, 1, 12, "3", "1:01:00")], PARTS)
+    sources = of([(5, 1, "old", True), (6, 1, "new", False), (7, 2, "two", True)], "id int, course_id int, url string, is_active boolean")
+    return {"courses": courses, "parts": parts, "sources": sources, "athletes": of([(k,) for k in (10, 11, 12, 13)], "id int")}
+
+
+def fresh_rows(spark, *rows):
+    return spark.createDataFrame(rows, "id int, athlete_id int, bib_number string, name string, event_date date, event_type string, course_relay boolean")
+
+
+def test_source_is_switched_as_a_whole(spark, tmp_path):
+    at, tables = str(tmp_path / "snapshots"), event_tables(spark)
+    snapshots.publish(tables, at)
+    before = snapshots.current_version(spark, at)
+    same, other = ("Tri", None, "triathlon", False), ("Trail", None, "trail", False)
+    held = lambda: {t: snapshots.read(spark, at, t) for t in tables}
+    # nothing, or another event: refused, and what was there is there
+    for rows in ([], [(9, 10, "1", *other)]):
+        fresh = fresh_rows(spark, *rows)
+        with pytest.raises(snapshots.Refused, match="no result" if not rows else "another event"):
+            snapshots.publish(switch.switched(held(), fresh, 1, 6), at, lambda _: switch.refusal(held()["courses"], fresh, 1))
+        assert snapshots.current_version(spark, at) == before and held()["parts"].count() == 4
+    # a job that fails on the way leaves it too
+    with pytest.raises(PySparkException):
+        snapshots.publish({"parts": tables["parts"].withColumn("id", F.raise_error(F.lit("lost")).cast("int"))}, at)
+    assert snapshots.current_version(spark, at) == before
+    fresh = fresh_rows(spark, (8, 12, "1", *same), (9, 13, "2", *same), (9, 13, "2", *other))
+    snapshots.publish(switch.switched(held(), fresh, 1, 6), at, lambda _: switch.refusal(held()["courses"], fresh, 1))
+    now = held() | {"log": snapshots.read(spark, at, "log")}
+    assert sorted(tuple(r)[:4] for r in now["parts"].collect()) == [(3, 2, 11, "1"), (8, 1, 12, "1"), (9, 1, 13, "2")]
+    assert sorted(r.id for r in now["athletes"].collect()) == [11, 12, 13]  # 10 was only there
+    assert sorted((r.id, r.is_active) for r in now["sources"].collect()) == [(5, False), (6, True), (7, True)]
+    assert [tuple(r) for r in now["log"].collect()] == [("course.source.switch", 1, "old", "new", 3, 2, 1)]
+    assert spark.read.parquet(f"{at}/versions/{before}/parts").count() == 4
+
+
+def test_counts_of_a_write(spark, tmp_path):
+    """One write tells how many times were unknown; a ranking that was cut short isn't published."""
+    at, tables = str(tmp_path / "s"), event_tables(spark)
+    parts, seen = snapshots.observed(tables["parts"])
+    snapshots.publish({"parts": parts}, at, snapshots.cut_short(seen, 4))
+    assert seen.get == {"n_rows": 4, "n_without_time": 1, "n_unknown_times": 1}
+    before = snapshots.current_version(spark, at)
+    parts, seen = snapshots.observed(tables["parts"].where("id < 4"))
+    with pytest.raises(snapshots.Refused, match="3 rows of 4"):
+        snapshots.publish({"parts": parts}, at, snapshots.cut_short(seen, 4))
+    assert snapshots.current_version(spark, at) == before
