@@ -10,7 +10,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paceline.functions.text import deaccent, of
+from paceline.functions.text import bound, deaccent, of
 
 #: A season starts on the first day of this month and is named by the year of its start.
 FIRST_MONTH = 9
@@ -72,8 +72,13 @@ def written_date(c: Column | str) -> Column:
     Word by word: a month stands between a day, or two, and a year.
     """
     number = F.create_map(*(F.lit(x) for x in chain.from_iterable(MONTHS.items())))
-    joined = F.regexp_replace(F.lower(deaccent(c)), r"\s*[-–—/]\s*", "-")
-    words = F.split(F.trim(joined), r"\s+")
+    joined = F.regexp_replace(F.lower(deaccent(c)), r"(?U)\s*[-–—/]\s*", "-")
+    found = bound(F.split(F.trim(joined), r"(?U)\s+"), lambda words: dates_among(words, number))  # no-break spaces too
+    return F.try_to_date(F.try_element_at(found, F.lit(1)), "yyyy-M-d")
+
+
+def dates_among(words: Column, number: Column) -> Column:
+    """The dates in figures that months among ``words`` have their days and years beside; ``number`` maps months to figures."""
     word = lambda k: F.coalesce(F.try_element_at(words, k), F.lit(""))
 
     def day_at(k: Column) -> Column:
@@ -86,8 +91,7 @@ def written_date(c: Column | str) -> Column:
         return F.when(month.isNotNull() & (day != "") & (year != ""), F.concat_ws("-", year, month, day))
 
     places = F.when(F.size(words) > 2, F.sequence(F.lit(2), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.transform(places, day_at), lambda x: x.isNotNull())
-    return F.try_to_date(F.try_element_at(found, F.lit(1)), "yyyy-M-d")
+    return F.filter(F.transform(places, day_at), lambda x: x.isNotNull())
 
 
 def any_date(c: Column | str) -> Column:

@@ -7,14 +7,12 @@ unless a docstring says otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache, reduce
 from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Tab, line feed, carriage return and no-break space count as blanks in labels.
 BLANKS = "\t\n\r "
@@ -41,6 +39,11 @@ def unaccented(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(one.values()), tuple(more)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression would be computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def deaccent(c: Column | str) -> Column:
     """Latin letters without their accents; letters that only look joined (``œ``, ``ß``) stay."""
     source, target, _ = unaccented("NFD")
@@ -167,8 +170,15 @@ def place_of(c: Column | str) -> Column:
 
     The name is read word by word; what is still to come decides whether a sport's name is one (the last word is not).
     """
-    words = F.filter(F.split(F.trim(of(c)), r"\s+"), lambda w: ~w.rlike(r"^20\d{2}$"))
-    words = F.filter(words, lambda w, k: ~(w.rlike("^[-–—]+$") & (k == F.size(words) - 1)))
+    without_year = F.regexp_replace(of(c), r"(?U)\b20\d{2}\b", "")  # wherever it stands, in brackets or beside another one
+    words = F.filter(F.split(without_year, r"(?U)\s+"), lambda w: w != "")
+    words = F.when(F.try_element_at(words, F.lit(-1)).rlike("^[-–—]+$"), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    place = bound(words, place_among)
+    return F.when(place == "", of(c)).otherwise(place)
+
+
+def place_among(words: Column) -> Column:
+    """`place_of` a name's words without its year; empty if nothing stays."""
     n = F.size(words)
     state = lambda kept, opening, skip, over: F.struct(kept.alias("kept"), opening.alias("opening"), skip.alias("skip"), over.alias("over"))
     no, yes = F.lit(False), F.lit(True)
@@ -193,11 +203,14 @@ def place_of(c: Column | str) -> Column:
 
     start = state(F.array().cast("array<string>"), no, no, no)
     end = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, read)
-    kept = end["kept"]
-    sized = ~end["over"] & (F.size(kept) > 1) & F.lower(F.try_element_at(kept, F.lit(-1))).isin(*SIZE_WORDS)
-    kept = F.when(sized, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
-    place = F.trim(F.regexp_replace(F.array_join(F.filter(kept, lambda w: w != ""), " "), "[-–—]+$", ""))
-    return F.when(place == "", of(c)).otherwise(place)
+
+    def joined(end: Column) -> Column:
+        kept = end["kept"]
+        sized = ~end["over"] & (F.size(kept) > 1) & F.lower(F.try_element_at(kept, F.lit(-1))).isin(*SIZE_WORDS)
+        kept = F.when(sized, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+        return F.trim(F.regexp_replace(F.array_join(F.filter(kept, lambda w: w != ""), " "), "[-–—]+$", ""))
+
+    return bound(end, joined)
 
 
 def qualified_name(name: Column | str, qualifier: Column | str) -> Column:
@@ -219,14 +232,13 @@ def identities_differ(a: Column | str, b: Column | str) -> Column:
     return (fold(of(a)) != "") & (fold(of(b)) != "") & (words(a) != words(b))
 
 
-@F.pandas_udf(StringType())
-def repair_mojibake(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as Windows-1252, read right; any other text as it is."""
+#: What Windows-1252 has at 0x80 to 0x9F; five bytes have no meaning there.
+WINDOWS, CONTROLS = zip(*((bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)), strict=True)
 
-    def one(x: str | None) -> str | None:
-        try:
-            return x if x is None or x.isascii() else x.encode("cp1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return x
 
-    return texts.map(one)
+def repair_mojibake(c: Column | str) -> Column:
+    """UTF-8 that was read as Windows-1252, read right; any other text as it is."""
+    text = of(c)
+    one_byte = text.rlike(f"^[\\x00-\\x7F\\xA0-\\xFF{''.join(WINDOWS)}]*$")
+    raw = F.encode(F.translate(text, "".join(WINDOWS), "".join(CONTROLS)), "ISO-8859-1").cast("string")
+    return F.when(one_byte, F.coalesce(F.try_validate_utf8(raw), text)).otherwise(text)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.functions.text import of
+from paceline.functions.text import bound, of
 
 #: The checkpoints at which every course begins and ends.
 START, FINISH = "-999", "999"
@@ -47,7 +47,11 @@ def chain(edges: Column | str, start: str = START, finish: str = FINISH) -> Colu
     Among ways of equal length the one with the smallest ``idx`` at the first segment that differs. All checkpoints that are one segment farther are found
     in each round, and none twice; so circles end, and the work is bounded by segments times checkpoints.
     """
-    edges = of(edges).cast(f"array<{EDGE}>")
+    return bound(of(edges).cast(f"array<{EDGE}>"), lambda e: way_through(e, start, finish))
+
+
+def way_through(edges: Column, start: str, finish: str) -> Column:
+    """`chain` of edges that are at hand."""
     none = F.array().cast(f"array<{STEP}>")
     first = F.array(F.struct(F.lit(start).alias("node"), F.array().cast("array<int>").alias("path"))).cast(f"array<{STEP}>")
     begin = F.struct(first.alias("front"), F.array(F.lit(start)).cast("array<string>").alias("seen"), F.lit(None).cast("array<int>").alias("found"))

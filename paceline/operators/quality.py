@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import status, text, times, urls
@@ -60,6 +60,42 @@ def with_anomaly(reports: DataFrame, code: str) -> DataFrame:
     return reports.where(F.coalesce(F.try_element_at("quality_issues", F.lit(code)), F.lit(0)) > 0)
 
 
+def comparable_courses(courses: DataFrame, platforms: Iterable[str]) -> DataFrame:
+    """What courses are compared by: address, host, heat, event id and comparable name."""
+    return courses.select(
+        "id", "name", "event_date", "event_type", F.coalesce("is_relay", F.lit(False)).alias("is_relay"), F.coalesce("source_url", F.lit("")).alias("url"),
+        F.coalesce(urls.host_of("source_url"), F.lit("")).alias("host"), urls.heat_slug(F.coalesce("source_url", F.lit(""))).alias("heat"),
+        urls.event_id("source_url", "provider", list(platforms)).alias("event"), text.comparable_name("name").alias("plain"),
+    )
+
+
+def duplicate_groups(courses: DataFrame, platforms: Iterable[str], days: int = DAYS_APART) -> DataFrame:
+    """``id, reason, representative, n``: courses that may be one, as members of groups instead of pairs, so that a group of any size has one row a member.
+
+    A group is the courses of one address, of one event id on more than one host (with one type and kind of starters), or of one name whose days follow each
+    other at ``days`` or less. Its representative is the smallest id.
+    """
+    of = comparable_courses(courses, platforms)
+
+    def grouped(rows: DataFrame, keys: list[str], reason: str, enough: Column) -> DataFrame:
+        size = rows.groupBy(*keys).agg(F.min("id").alias("representative"), F.count("*").alias("n"), F.count_distinct("host").alias("hosts")).where(enough)
+        key = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
+        return rows.alias("r").join(size.alias("s"), key).select(F.col("r.id").alias("id"), F.lit(reason).alias("reason"), "s.representative", "s.n")
+
+    kind = ["event_type", "is_relay"]
+    dated = of.where("event_date IS NOT NULL AND plain <> ''")
+    order = Window.partitionBy("plain", *kind).orderBy("event_date", "id")
+    apart = F.datediff("event_date", F.lag("event_date").over(order)) > days
+    runs = dated.withColumn("run", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(order))
+    several = F.col("n") > 1
+    found = [
+        grouped(of.where("heat <> ''"), ["url"], RULES[0], several),
+        grouped(of.where("event <> ''"), ["event", *kind], RULES[1], F.col("hosts") > 1),
+        grouped(runs, ["plain", *kind, "run"], RULES[2], several),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def duplicate_candidates(courses: DataFrame, platforms: Iterable[str], days: int = DAYS_APART) -> DataFrame:
     """Pairs ``left_id, right_id, reason`` of courses (``id, name, event_date, event_type, is_relay, source_url, provider``).
 
@@ -67,12 +103,7 @@ def duplicate_candidates(courses: DataFrame, platforms: Iterable[str], days: int
     guard; names must agree and their dates lie within ``days``: they are joined by name and by week, each date in its
     own week and the two beside, so that editions of a popular name don't all meet.
     """
-    host = urls.host_of("source_url")
-    of = courses.select(
-        "id", "name", "event_date", "event_type", F.coalesce("is_relay", F.lit(False)).alias("is_relay"), F.coalesce("source_url", F.lit("")).alias("url"),
-        F.coalesce(host, F.lit("")).alias("host"), urls.heat_slug(F.coalesce("source_url", F.lit(""))).alias("heat"),
-        urls.event_id("source_url", "provider", list(platforms)).alias("event"), text.comparable_name("name").alias("plain"),
-    )
+    of = comparable_courses(courses, platforms)
     a = lambda c: F.col(f"a.{c}")
     b = lambda c: F.col(f"b.{c}")
     date = lambda c: F.coalesce(c, F.lit("0001-01-01").cast("date"))

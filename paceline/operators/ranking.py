@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import text
+from paceline.functions.text import bound
 from paceline.functions.times import to_seconds
 
 #: Places that a result is compared to, and gains that are tried, in thousandths.
@@ -39,6 +40,41 @@ def segment_grid(parts: DataFrame, ranked_only: bool = True) -> DataFrame:
     return grid.join(timed, ["course_id", "id", "label"], "left").withColumn("seconds", to_seconds("time", strict=True)).drop("time")
 
 
+def segment_rows(parts: DataFrame, segments: DataFrame) -> DataFrame:
+    """The grid of `segment_grid` with `cumulative`, and ``last`` for an event's last segment, from segments that are long and in seconds already.
+
+    ``parts`` are ``course_id, id, rank_overall``, those with a rank; ``segments`` are ``id, pos, label, seconds``, a missing time as null. A participation's
+    segments are gathered once, under its id; an event's few labels come to its rows as an array, so sums go along an array and no window is needed.
+    """
+    known = parts.where("rank_overall IS NOT NULL").select("course_id", "id", "rank_overall")
+    once = segments.groupBy("id", "label").agg(F.max("seconds").cast("bigint").alias("seconds"), F.min("pos").alias("pos"))
+    wide = known.join(once.groupBy("id").agg(F.collect_list(F.struct("label", "pos", "seconds")).alias("own")), "id")
+    flat = wide.select("course_id", "id", "rank_overall", F.explode("own").alias("s"))
+    first = flat.groupBy("course_id", F.col("s.label").alias("label")).agg(F.min(F.struct("rank_overall", "id", F.col("s.pos").alias("pos"))).alias("at"))
+    labels = first.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("labels"))
+    step = "struct<pos:int,label:string,seconds:bigint,cumulative:bigint>"
+
+    def add(times: Column, done: Column, x: Column) -> Column:
+        seconds = F.try_element_at(times, x["label"])
+        before = F.when(F.size(done) == 0, F.lit(0).cast("bigint")).otherwise(F.try_element_at(done, F.lit(-1))["cumulative"])
+        new = F.struct((F.size(done) + 1).alias("pos"), x["label"].alias("label"), seconds.alias("seconds"), (before + seconds).alias("cumulative"))
+        return F.concat(done, F.array(new.cast(step))).cast(f"array<{step}>")
+
+    steps = bound(
+        F.map_from_entries(F.transform("own", lambda s: F.struct(s["label"], s["seconds"]))),
+        lambda times: F.aggregate("labels", F.array().cast(f"array<{step}>"), lambda done, x: add(times, done, x)),
+    )
+    out = wide.join(labels, "course_id").select("course_id", "id", "rank_overall", F.size("labels").alias("_n"), F.explode(steps).alias("s"))
+    return out.select("course_id", "id", "rank_overall", "s.*", (F.col("s.pos") == F.col("_n")).alias("last"))
+
+
+def evolution(rows: DataFrame) -> DataFrame:
+    """`rank_evolution` of `segment_rows`: both ranks of every step at which both are known; after the last segment the official one counts."""
+    out = rank_among(rank_among(rows, "cumulative", ["course_id", "pos"], "rank_cumulative"), "seconds", ["course_id", "pos"], "rank_isolated")
+    out = out.withColumn("rank_cumulative", F.when(F.col("last"), F.coalesce("rank_overall", "rank_cumulative")).otherwise(F.col("rank_cumulative")))
+    return out.where("rank_cumulative IS NOT NULL AND rank_isolated IS NOT NULL")
+
+
 def cumulative(grid: DataFrame) -> DataFrame:
     """``cumulative``: seconds up to each segment, null once a segment on the way is missing."""
     upto = Window.partitionBy("course_id", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -33,7 +33,7 @@ def is_unknown_time(c: Column | str) -> Column:
 
 
 def name_cell(c: Column | str) -> Column:
-    """``struct(last, first, gender, category)`` of a cell such as ``GUEGANO JordanH-S3H``: the code at the end is cut off, then the name is split."""
+    """``struct(last, first, gender, category)`` of a cell such as ``LEVARC NoamH-S3H``: the code at the end is cut off, then the name is split."""
     cell = text(c)
     code = r"([HF])-([A-Z0-9]+)$"
     name = split_name(F.regexp_replace(cell, code, ""))

@@ -292,6 +292,22 @@ def self_join_duplicates(t: Tables) -> DataFrame:
     return quality.duplicate_candidates(catalogue.with_active_source(t.courses, t.sources), PLATFORMS)
 
 
+@query(
+    f"""WITH of AS (SELECT c.id, c.event_date, c.event_type, c.is_relay, coalesce(s.url, '') AS url, regexp_extract(coalesce(s.url, ''), '^https?://([^/]+)', 1) AS host,
+    lower(CASE WHEN regexp_extract(s.url, '[?&]heat=([^&#]*)', 1) <> '' THEN regexp_extract(s.url, '[?&]heat=([^&#]*)', 1) ELSE regexp_extract(s.url, '^https?://[^/]+/resultats-courses/[^/?]+/([^/?]+)$', 1) END) AS heat,
+    CASE WHEN s.provider IN ('plata', 'platb') THEN regexp_extract(s.url, '\\d{{10,}}-\\d+', 0) ELSE '' END AS event, {PLAIN} AS plain
+    FROM courses c LEFT JOIN sources s ON s.course_id = c.id AND s.is_active),
+    g AS (SELECT *, sum(coalesce(gap, 0)) OVER (PARTITION BY plain, event_type, is_relay ORDER BY event_date, id) AS run FROM
+        (SELECT *, (date_diff('day', lag(event_date) OVER (PARTITION BY plain, event_type, is_relay ORDER BY event_date, id), event_date) > 3)::INT AS gap FROM of WHERE event_date IS NOT NULL AND plain <> ''))
+    SELECT id, 'same_source_url' AS reason, min(id) OVER w AS representative, count(*) OVER w AS n FROM of WHERE coalesce(heat, '') <> '' WINDOW w AS (PARTITION BY url) QUALIFY count(*) OVER w > 1
+    UNION ALL SELECT o.id, 'shared_event_id', k.representative, k.n FROM of o JOIN (SELECT event, event_type, is_relay, min(id) AS representative, count(*) AS n FROM of WHERE coalesce(event, '') <> '' GROUP BY ALL HAVING count(DISTINCT host) > 1) k
+        ON o.event = k.event AND o.event_type = k.event_type AND o.is_relay = k.is_relay
+    UNION ALL SELECT id, 'close_names', min(id) OVER w, count(*) OVER w FROM g WINDOW w AS (PARTITION BY plain, event_type, is_relay, run) QUALIFY count(*) OVER w > 1"""
+)
+def duplicate_groups(t: Tables) -> DataFrame:
+    return quality.duplicate_groups(catalogue.with_active_source(t.courses, t.sources), PLATFORMS)
+
+
 @query(
     """SELECT (SELECT count(*) FROM parts WHERE course_id = 14) AS participations,
     (SELECT count(*) FROM parts a WHERE course_id = 14 AND NOT EXISTS (SELECT 1 FROM parts b WHERE b.course_id = 7 AND b.bib_number <> '' AND b.bib_number = a.bib_number)) AS unmatched,

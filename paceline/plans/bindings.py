@@ -113,6 +113,12 @@ class Tables:
         """One row per participation and segment: repeated line numbers of an order are one."""
         return self.bound("lineitem", SEGMENTS).groupBy("id", "pos", "label").agg(F.min("seconds").alias("seconds"))
 
+    @property
+    def long_splits(self) -> DataFrame:
+        """`segments` with the times that splits have: null for ``t1`` of odd length. Dealt by participation once, which holds for all that follows."""
+        of = self.bound("lineitem", SEGMENTS).repartition("id").groupBy("id", "pos", "label").agg(F.min("seconds").alias("seconds"))
+        return of.withColumn("seconds", F.when((F.col("label") != "t1") | (F.col("seconds") % 2 == 0), F.col("seconds")))
+
     @property
     def timed_parts(self) -> DataFrame:
         """Participations with their splits, those of odd length of time without a time for ``t1``."""

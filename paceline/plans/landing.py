@@ -249,16 +249,47 @@ def published_status(t: Tables) -> DataFrame:
     return t.parts.select("id", rows.published_status(flag(5), flag(7), "total_time").alias("status"))
 
 
-@query("SELECT id, 'LE GALL' AS last, 'Jean-Luc' AS first, CASE id % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'F' ELSE '' END AS gender, CASE WHEN id % 3 < 2 THEN 'S' || (id % 4)::VARCHAR ELSE '' END AS category FROM parts")
+#: Names of athletes as a service prints them: the last name in capitals, figures as letters; the first name may be missing, and so may the last.
+FIGURES, LETTERS = "0123456789#", "ABCDEFGHIJK"
+PRINTED = f"""WITH n AS (SELECT p.id, p.course_id, p.bib_number, p.is_relay, upper(translate(a.last_name, '{FIGURES}', '{LETTERS}')) AS last, a.first_name AS first FROM parts p JOIN athletes a ON a.id = p.athlete_id),
+s AS (SELECT *, CASE WHEN last = '' THEN first ELSE last END AS own, CASE WHEN last = '' THEN '' ELSE first END AS other FROM n)
+"""
+
+
+def printed_names(t: Tables) -> DataFrame:
+    last = F.upper(F.translate("last_name", FIGURES, LETTERS))
+    people = t.athletes.select(F.col("id").alias("athlete_id"), last.alias("last"), "first_name")
+    return t.parts.select("id", "course_id", "bib_number", "is_relay", "athlete_id").join(people, "athlete_id")
+
+
+@query(PRINTED + "SELECT id, own AS last, other AS first, CASE id % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'F' ELSE '' END AS gender, CASE WHEN id % 3 < 2 THEN 'S' || (id % 4)::VARCHAR ELSE '' END AS category FROM s")
 def name_cells(t: Tables) -> DataFrame:
     code = F.when(F.col("id") % 3 < 2, F.concat(F.when(F.col("id") % 3 == 0, F.lit("H")).otherwise(F.lit("F")), F.lit("-S"), (F.col("id") % 4).cast("string"))).otherwise(F.lit(""))
-    return t.parts.select("id", rows.name_cell(F.concat(F.lit(" LE GALL Jean-Luc"), code)).alias("n")).select("id", "n.*")
+    name = F.concat(F.lit(" "), F.concat_ws("  ", "last", "first_name"), code)
+    return printed_names(t).select("id", rows.name_cell(name).alias("n")).select("id", "n.*")
 
 
-@query("SELECT id, CASE WHEN id % 3 = 0 AND coalesce(bib_number, '') <> '' THEN 'Anonyme ' || course_id::VARCHAR || '-' || bib_number WHEN is_relay THEN 'Jean DUPONT' ELSE 'DUPONT' END AS last, CASE WHEN (id % 3 = 0 AND coalesce(bib_number, '') <> '') OR is_relay THEN '' ELSE 'Jean' END AS first FROM parts")
+@query(
+    PRINTED
+    + "SELECT id, CASE WHEN id % 3 = 0 AND coalesce(bib_number, '') <> '' THEN 'Anonyme ' || course_id::VARCHAR || '-' || bib_number WHEN is_relay THEN trim(first || ' ' || last) ELSE own END AS last, "
+    "CASE WHEN (id % 3 = 0 AND coalesce(bib_number, '') <> '') OR is_relay THEN '' ELSE other END AS first FROM s"
+)
 def runner_identities(t: Tables) -> DataFrame:
-    of = rows.identity(F.lit("Jean DUPONT"), F.col("id") % 3 == 0, "bib_number", "course_id", "is_relay")
-    return t.parts.select("id", of.alias("n")).select("id", "n.*")
+    of = rows.identity(F.concat_ws(" ", "first_name", "last"), F.col("id") % 3 == 0, "bib_number", "course_id", "is_relay")
+    return printed_names(t).select("id", of.alias("n")).select("id", "n.*")
+
+
+@query("SELECT 'C' || course_id::VARCHAR AS source, CASE WHEN course_id % 3 = 0 THEN '' ELSE 'Abandons' END AS contest, CASE WHEN course_id % 5 = 0 THEN 'DNS' WHEN course_id % 3 = 0 THEN 'DNF' ELSE '' END AS status, CAST(id AS STRING) AS id FROM parts")
+def contests_and_statuses(t: Tables) -> DataFrame:
+    """Every list is called after a status, which is a contest's name in two courses of three; below it are genders, in one course of five after another status."""
+    own = F.concat(F.lit("C"), F.col("course_id").cast("string"))
+    lists = t.parts.groupBy("course_id", F.expr(CHUNK).alias("chunk")).agg(F.collect_list(F.array(F.col("id").cast("string"))).alias("data"))
+    gender = F.create_map(F.lit("#1_Féminin"), F.col("data"))
+    plain, deep = F.to_json(F.create_map(F.lit("#2_Abandons"), gender)), F.to_json(F.create_map(F.lit("#2_Abandons"), F.create_map(F.lit("#1_Non partants"), gender)))
+    docs = lists.select(own.alias("source"), F.when(F.col("course_id") % 5 == 0, deep).otherwise(plain).alias("body"))
+    named = lists.where("course_id % 3 <> 0").select(own.alias("source"), F.lit(" ABANDONS").alias("label")).distinct()
+    out = landed.contests_and_statuses(landed.group_tree(docs), named)
+    return out.select("source", "contest", "status", F.get("row", F.lit(0)).alias("id"))
 
 
 @query("WITH c AS (SELECT id AS seq, id % 400 AS k, 'v' || id::VARCHAR AS value, id % 3 = 0 AS right_one FROM sources), f AS (SELECT k, min(seq) AS won FROM c WHERE right_one GROUP BY k) SELECT c.id, f.won, CASE WHEN f.won IS NULL THEN c.event_type ELSE 'v' || f.won::VARCHAR END AS event_type FROM courses c LEFT JOIN f ON f.k = c.id")

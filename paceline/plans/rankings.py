@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators import catalogue, ranking, stats
-from paceline.plans.bindings import SECONDS, Tables, query
+from paceline.plans.bindings import PARTS, SECONDS, SEGMENTS, Tables, query, select
 from paceline.plans.listings import rows
 
 TIMED = f"CASE WHEN coalesce(total_time, '') NOT IN ('', '00:00:00') THEN {SECONDS} END"
@@ -31,7 +31,7 @@ def rank_in_set(t: Tables) -> DataFrame:
 
 @query(f"WITH {GRID} SELECT course_id, id, label, pos, seconds, cumulative FROM c")
 def cumulative_segments(t: Tables) -> DataFrame:
-    out = ranking.cumulative(ranking.segment_grid(t.timed_parts))
+    out = ranking.segment_rows(t.parts, t.long_splits)
     return out.select("course_id", "id", "label", F.col("pos").cast("bigint").alias("pos"), "seconds", "cumulative")
 
 
@@ -42,14 +42,17 @@ def cumulative_segments(t: Tables) -> DataFrame:
     WHERE (CASE WHEN r.last THEN coalesce(p.rank_overall, rc) ELSE rc END) IS NOT NULL AND ri IS NOT NULL"""
 )
 def rank_evolution(t: Tables) -> DataFrame:
-    of = ranking.rank_evolution(ranking.segment_grid(t.timed_parts), t.parts)
+    of = ranking.evolution(ranking.segment_rows(t.parts, t.long_splits))
     return of.select("course_id", "id", *(F.col(c).cast("bigint").alias(c) for c in ("pos", "rank_cumulative", "rank_isolated")))
 
 
 @query(
-    """WITH k AS (SELECT p.course_id, p.id, p.rank_overall, s.label, s.seconds FROM splits s JOIN parts p ON p.id = s.id WHERE s.seconds > 0),
-    a AS (SELECT course_id, label, rank_overall, seconds FROM k WHERE rank_overall IN (1, 10, 25, 50, 100) QUALIFY row_number() OVER (PARTITION BY course_id, rank_overall, label ORDER BY id DESC) = 1)
-    SELECT k.course_id, k.id, k.label, a.rank_overall AS reference, (1000 * k.seconds) // a.seconds AS thousandths FROM k JOIN a ON a.course_id = k.course_id AND a.label = k.label"""
+    f"""WITH p AS MATERIALIZED ({select({c: PARTS[c] for c in ("id", "course_id", "rank_overall")}, "orders")}),
+    s AS MATERIALIZED (SELECT id, label, min(seconds) AS seconds FROM ({select(SEGMENTS, "lineitem")}) GROUP BY id, label),
+    k AS MATERIALIZED (SELECT p.course_id, p.id, p.rank_overall, s.label, s.seconds FROM s JOIN p ON p.id = s.id WHERE s.seconds > 0 AND NOT (s.label = 't1' AND s.seconds % 2 = 1)),
+    a AS MATERIALIZED (SELECT course_id, label, rank_overall AS reference, arg_max(seconds, id) AS seconds FROM k WHERE rank_overall IN (1, 10, 25, 50, 100) GROUP BY course_id, label, rank_overall)
+    SELECT k.course_id, k.id, k.label, a.reference, (1000 * k.seconds) // a.seconds AS thousandths FROM k JOIN a ON a.course_id = k.course_id AND a.label = k.label""",
+    bare=True,
 )
 def reference_comparison(t: Tables) -> DataFrame:
     of = t.segments.where("NOT (label = 't1' AND seconds % 2 = 1)").join(t.parts.select("id", "course_id", "rank_overall"), "id")

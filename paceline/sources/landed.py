@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from paceline.functions.columns import DURATION, column_roles, require
 from paceline.functions.splits import of_seconds
+from paceline.functions.status import status_of_label
 from paceline.runtime import ship
 
 CLAX = "E array<struct<_d:string,_n:string,_p:string,_x:string,_ca:string>>, R array<struct<_d:string,_t:string>>"
@@ -167,6 +168,23 @@ def group_tree(docs: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
+def contests_and_statuses(tree: DataFrame, contests: DataFrame, by: str = "source") -> DataFrame:
+    """``by, contest, status, row`` of the rows of `group_tree`: what their labels say.
+
+    The first label names the contest, unless the table of statuses knows it and no contest of the source (``by, label``) has that name. Of the others the last
+    known one is the status; an unknown label, such as a gender, leaves it as it is. A number in front of a label (``#2_``) is its place and nothing more.
+    """
+    labels = F.transform("labels", lambda x: F.trim(F.regexp_replace(x, r"^#\d+_", "")))
+    known = contests.groupBy(by).agg(F.collect_set(F.lower(F.trim("label"))).alias("_known"))
+    of = tree.withColumn("labels", labels).join(known, by, "left")
+    first = F.get("labels", F.lit(0))
+    named = F.coalesce(F.array_contains("_known", F.lower(first)), F.lit(False))
+    status = (status_of_label(first) != "") & ~named
+    later = F.filter(F.slice("labels", 2, F.greatest(F.size("labels"), F.lit(1))), lambda x: status_of_label(x) != "")
+    found = F.coalesce(F.try_element_at(later, F.lit(-1)), F.when(status, first), F.lit(""))
+    return of.select(by, F.when(status | first.isNull(), F.lit("")).otherwise(first).alias("contest"), status_of_label(found).alias("status"), "row")
+
+
 def entrants(docs: DataFrame) -> DataFrame:
     """``source, bib, name, leg, gender, category, time``: entrants with their result, by bib; the last result of a bib counts."""
     read = docs.select("source", F.from_xml("body", CLAX).alias("x"))
