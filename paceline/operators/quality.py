@@ -55,6 +55,23 @@ def quality_report(courses: DataFrame, parts: DataFrame, repeated: DataFrame | N
     return out.select("course_id", *CODES, issues.alias("quality_issues"), (F.size(issues) == 0).alias("is_reliable_computed"))
 
 
+def finalized(courses: DataFrame, parts: DataFrame, imported: DataFrame, now: Column, repeated: DataFrame | None = None) -> DataFrame:
+    """Courses after an import of ``imported`` (``id``): those were read ``now``, and their quality is judged anew; the others stay as they are.
+
+    Only participations of the imported courses are read. ``repeated`` as in `quality_report`. A column ``quality_issues`` is added if there was none.
+    """
+    ids = imported.select("id").distinct()
+    own = parts.join(ids.select(F.col("id").alias("course_id")), "course_id", "left_semi")
+    report = quality_report(courses.join(ids, "id", "left_semi"), own, repeated).select(
+        F.col("course_id").alias("_of"), F.col("is_reliable_computed").alias("_reliable"), F.col("quality_issues").alias("_issues")
+    )
+    out = courses.join(report, F.col("id") == F.col("_of"), "left")
+    new = F.col("_of").isNotNull()
+    held = F.col("quality_issues") if "quality_issues" in courses.columns else F.lit(None).cast("map<string,bigint>")
+    fresh = {"scraped_at": now, "is_reliable_computed": F.col("_reliable"), "quality_issues": F.col("_issues")}
+    return out.withColumns({c: F.when(new, v).otherwise(held if c == "quality_issues" else F.col(c)) for c, v in fresh.items()}).drop("_of", "_reliable", "_issues")
+
+
 def with_anomaly(reports: DataFrame, code: str) -> DataFrame:
     """Reports in which an anomaly was found."""
     return reports.where(F.coalesce(F.try_element_at("quality_issues", F.lit(code)), F.lit(0)) > 0)

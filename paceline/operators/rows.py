@@ -69,6 +69,23 @@ def resolved_roles(fields: DataFrame, by: list[str]) -> DataFrame:
     return counted.select(*by, "role", F.when(F.col("n") == 1, F.col("only")).alias("field"), (F.col("n") > 1).alias("ambiguous"))
 
 
+def planned_splits(values: DataFrame, fields: DataFrame, by: list[str], row: str = "id") -> DataFrame:
+    """``by``, ``row``, ``splits`` of times ``by, row, field, time``, as the race's ``fields`` (``by``, field, label, role, cumulative) let them be read.
+
+    If every role of a race has one field, splits are the roles; if any has more, none can be told, and all fields of the race, cumulative ones too, are splits under
+    their own labels. Splits stand in the order of the fields' numbers; empty and zero times give none.
+    """
+    roles = resolved_roles(fields, by)
+    races = roles.groupBy(*by).agg(F.bool_or("ambiguous").alias("_unclear"))
+    number = F.coalesce(F.regexp_extract("field", r"\d+", 0).try_cast("int"), F.lit(0))
+    named = fields.select(*by, "field", "label").withColumn("_at", number).join(races, by, "left")
+    named = named.join(roles.where("NOT ambiguous").select(*by, "field", F.col("role").alias("_role")), [*by, "field"], "left")
+    named = named.withColumn("_label", F.when(F.col("_unclear"), F.col("label")).otherwise(F.col("_role"))).where("_label IS NOT NULL")
+    timed = values.where(~text("time").isin("", "00:00:00")).join(named.select(*by, "field", "_at", "_label"), [*by, "field"])
+    of = timed.groupBy(*by, row).agg(F.array_sort(F.collect_list(F.struct("_at", "field", F.col("_label").alias("label"), "time"))).alias("s"))
+    return of.select(*by, row, F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["time"].alias("time"))).alias("splits"))
+
+
 def list_specs(lists: DataFrame, hidden: bool = False) -> DataFrame:
     """``name, contest`` of published (or of hidden) lists, each once and in the order of their first places ``seq``."""
     is_hidden = F.coalesce(F.col("mode") == "hidden", F.lit(False))

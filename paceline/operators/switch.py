@@ -1,4 +1,4 @@
-"""Changing a course's source: its ranking is replaced as a whole, never mixed.
+"""Writes that touch several tables: changing a course's source, whose ranking is replaced as a whole and never mixed, and deleting courses.
 
 ``fresh`` are the participations read from the new source, with the identity that it publishes (``name, event_date, event_type, course_relay``), resolved to ``course_id`` and ``athlete_id``.
 The result is all tables anew; `paceline.sources.snapshots.publish` writes them together or not at all.
@@ -61,3 +61,29 @@ def switched(tables: dict[str, DataFrame], fresh: DataFrame, course_id: int, sou
     if "log" in tables:
         out["log"] = tables["log"].unionByName(entry)
     return tables | out
+
+
+def deleted(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """``courses, parts, sources, athletes, log`` without the courses ``id``: with them go their participations and sources, and the people who have no other participation.
+
+    The log gets one entry per course that was there: its identity, its participations, and the people that were in no course but deleted ones and in this one.
+    People without any participation stay, as do ids that aren't stored.
+    """
+    gone = tables["courses"].join(ids.select("id").distinct(), "id", "left_semi")
+    of = gone.select(F.col("id").alias("course_id"))
+    parts = tables["parts"]
+    lost, kept = parts.join(of, "course_id", "left_semi"), parts.join(of, "course_id", "left_anti")
+    purged = lost.where("athlete_id IS NOT NULL").select("course_id", "athlete_id").distinct().join(kept.select("athlete_id"), "athlete_id", "left_anti")
+    n_parts, n_people = lost.groupBy("course_id").agg(F.count("*").alias("n_deleted")), purged.groupBy("course_id").agg(F.count("*").alias("n_purged"))
+    entry = gone.join(n_parts, F.col("id") == n_parts["course_id"], "left").drop("course_id").join(n_people, F.col("id") == n_people["course_id"], "left")
+    entry = entry.select(
+        F.lit("course.delete").alias("action"), F.col("id").cast("bigint").alias("entity_id"), *IDENTITY, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_deleted", "n_purged"))
+    )
+    out = {
+        "courses": tables["courses"].join(ids.select("id"), "id", "left_anti"),
+        "parts": kept,
+        "sources": tables["sources"].join(of, "course_id", "left_anti"),
+        "athletes": tables["athletes"].join(purged.select(F.col("athlete_id").alias("id")), "id", "left_anti"),
+        "log": tables["log"].unionByName(entry, allowMissingColumns=True) if "log" in tables else entry,
+    }
+    return tables | out

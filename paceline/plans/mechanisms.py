@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import splits
 from paceline.functions.columns import column_roles, require
-from paceline.operators import chains, reclassification, switch
+from paceline.operators import chains, quality, reclassification, rows, switch
 from paceline.plans.bindings import WITH, Tables, query
 from paceline.sources import heats, landed, sheets
 from paceline.streaming import landings
@@ -259,3 +259,53 @@ def fresh_landings(t: Tables) -> DataFrame:
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     landings.import_landed(landings.fresh_only(stream, TTL), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out").withColumn("read_at", F.col("read_at").cast("timestamp_ntz"))
+
+
+@query(
+    """WITH gone AS (SELECT id, name, event_date, event_type, is_relay FROM courses WHERE is_relay AND id % 2 = 0),
+    lost AS (SELECT course_id, athlete_id FROM parts WHERE course_id IN (SELECT id FROM gone)),
+    kept AS (SELECT athlete_id FROM parts WHERE course_id NOT IN (SELECT id FROM gone))
+    SELECT 'course.delete' AS action, id AS entity_id, name, event_date, event_type, is_relay, (SELECT count(*) FROM lost l WHERE l.course_id = g.id) AS n_deleted,
+    (SELECT count(DISTINCT athlete_id) FROM lost l WHERE l.course_id = g.id AND athlete_id NOT IN (SELECT athlete_id FROM kept)) AS n_purged,
+    (SELECT count(*) FROM athletes WHERE id NOT IN (SELECT athlete_id FROM lost WHERE athlete_id NOT IN (SELECT athlete_id FROM kept))) AS athletes_left,
+    (SELECT count(*) FROM parts) - (SELECT count(*) FROM lost) AS parts_left, (SELECT count(*) FROM sources WHERE course_id NOT IN (SELECT id FROM gone)) AS sources_left FROM gone g"""
+)
+def courses_deleted(t: Tables) -> DataFrame:
+    tables = {"parts": t.parts, "courses": t.courses, "sources": t.sources, "athletes": t.athletes}
+    after = switch.deleted(tables, t.courses.where("is_relay AND id % 2 = 0").select("id"))
+    left = [after[k].agg(F.count("*").alias(f"{k}_left")) for k in ("athletes", "parts", "sources")]
+    return after["log"].join(left[0], F.lit(True)).join(left[1], F.lit(True)).join(left[2], F.lit(True))  # single rows
+
+
+@query(
+    """WITH due AS (SELECT id FROM courses WHERE id % 3 = 1),
+    b AS (SELECT course_id, count(*) FILTER (lower(trim(coalesce(status, ''))) NOT IN ('finisher', 'dnf', 'dns', 'dsq')) AS bad, count(*) FILTER (lower(trim(coalesce(status, ''))) = 'finisher'
+        AND trim(coalesce(total_time, '')) IN ('', '00:00:00', '0:00:00', '00:00', '0:00', '0')) AS untimed FROM parts GROUP BY 1),
+    a AS (SELECT course_id, sum(n - d)::BIGINT AS again, sum(greatest(top - d, 0))::BIGINT AS gap FROM (SELECT course_id, is_relay, count(*) AS n, count(DISTINCT rank_overall) AS d, max(rank_overall) AS top FROM parts
+        WHERE lower(trim(coalesce(status, ''))) = 'finisher' AND coalesce(rank_overall, 0) <> 0 GROUP BY 1, 2) GROUP BY course_id)
+    SELECT c.id, CASE WHEN d.id IS NULL THEN c.scraped_at ELSE DATE '2024-02-15' END AS scraped_at,
+    CASE WHEN d.id IS NULL THEN c.is_reliable_computed ELSE b.course_id IS NOT NULL AND b.bad + b.untimed + coalesce(a.again, 0) + coalesce(a.gap, 0) = 0 END AS is_reliable_computed,
+    CASE WHEN d.id IS NULL THEN NULL ELSE (b.course_id IS NULL)::INT + coalesce((b.bad > 0)::INT, 0) + coalesce((b.untimed > 0)::INT, 0) + coalesce((a.again > 0)::INT, 0) + coalesce((a.gap > 0)::INT, 0) END AS n_issues
+    FROM courses c LEFT JOIN due d ON d.id = c.id LEFT JOIN b ON b.course_id = c.id LEFT JOIN a ON a.course_id = c.id"""
+)
+def import_finalized(t: Tables) -> DataFrame:
+    out = quality.finalized(t.courses, t.parts, t.courses.where("id % 3 = 1").select("id"), F.lit("2024-02-15").cast("date"))
+    issues = F.when(F.col("quality_issues").isNotNull(), F.size("quality_issues"))
+    return out.select("id", "scraped_at", "is_reliable_computed", issues.alias("n_issues"))
+
+
+@query(
+    """WITH s AS (SELECT s.id, s.pos, s.label, s.seconds, p.course_id FROM splits s JOIN parts p ON p.id = s.id WHERE s.seconds IS NOT NULL AND (s.label <> 'bike' OR p.course_id % 4 <> 0)),
+    n AS (SELECT course_id, id, CASE WHEN course_id % 3 = 0 THEN 'L ' || label WHEN label IN ('swim', 'bike', 'run') THEN label END AS label, pos FROM s)
+    SELECT course_id, id, string_agg(label, '>' ORDER BY pos) AS splits FROM n WHERE label IS NOT NULL GROUP BY 1, 2"""
+)
+def planned_splits(t: Tables) -> DataFrame:
+    """Races whose fields have one role each, races in which two fields could be the run, and races without a field for the bike."""
+    of = t.long_splits.join(t.parts.select("id", "course_id"), "id").withColumn("field", F.concat(F.lit("T"), F.col("pos").cast("string")))
+    role = F.when(F.col("label").isin("swim", "bike", "run"), F.col("label")).when((F.col("label") == "seg6") & (F.col("course_id") % 3 == 0), F.lit("run"))
+    fields = t.parts.select("course_id").distinct().crossJoin(t.spark.createDataFrame([(f"T{k}", x) for k, x in enumerate(["swim", "t1", "bike", "t2", "run", "seg6", "seg7"], 1)], "field string, label string"))  # seven fields a race
+    fields = fields.where("label <> 'bike' OR course_id % 4 <> 0").withColumn("role", role).withColumn("cumulative", F.col("label") == "seg7")
+    fields = fields.withColumn("label", F.concat(F.lit("L "), F.col("label")))
+    values = of.where("seconds IS NOT NULL").select("course_id", "id", "field", F.format_string("00:00:%02d", F.col("seconds") % 59 + 1).alias("time"))
+    out = rows.planned_splits(values, fields, ["course_id"])
+    return out.select("course_id", "id", F.array_join(F.transform("splits", lambda x: x["label"]), ">").alias("splits"))

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from paceline.functions import columns, splits
-from paceline.operators import chains, reclassification, switch
+from paceline.operators import chains, quality, reclassification, rows, switch
 from paceline.sources import heats, landed, sheets, snapshots
 from paceline.streaming import landings
 
@@ -273,3 +273,32 @@ def test_counts_of_a_write(spark, tmp_path):
     with pytest.raises(snapshots.Refused, match="3 rows of 4"):
         snapshots.publish({"parts": parts}, at, snapshots.cut_short(seen, 4))
     assert snapshots.current_version(spark, at) == before
+
+
+def test_courses_are_deleted_with_what_hangs_on_them(spark):
+    tables = event_tables(spark)
+    after = switch.deleted(tables, spark.createDataFrame([(1,), (1,), (77,)], "id int"))
+    assert [r.id for r in after["courses"].collect()] == [2] and [r.id for r in after["parts"].collect()] == [3] and [r.id for r in after["sources"].collect()] == [7]
+    assert sorted(r.id for r in after["athletes"].collect()) == [11, 13]  # 11 is in another course, 13 never was in any
+    assert [tuple(r) for r in after["log"].collect()] == [("course.delete", 1, "Tri", None, "triathlon", False, 3, 2)]
+    assert {k: v.count() for k, v in switch.deleted(tables, spark.createDataFrame([], "id int")).items()} == {k: v.count() for k, v in tables.items()} | {"log": 0}
+
+
+def test_import_is_finalized(spark):
+    courses = spark.createDataFrame([(1, None, None), (2, dt.date(2020, 1, 1), True), (3, None, None)], "id int, scraped_at date, is_reliable_computed boolean")
+    parts = spark.createDataFrame([(1, 1, "finisher", "1:00", 1, False), (2, 1, "finisher", "", 3, False), (3, 2, "?", None, None, None)], "id int, course_id int, status string, total_time string, rank_overall int, is_relay boolean")
+    now = dt.date(2024, 1, 1)
+    got = quality.finalized(courses, parts, spark.createDataFrame([(1,), (3,), (3,), (9,)], "id int"), F.lit(now))
+    assert {r.id: (r.scraped_at, r.is_reliable_computed, r.quality_issues) for r in got.collect()} == {
+        1: (now, False, {"rank_gap": 1, "finisher_without_time": 1}), 2: (dt.date(2020, 1, 1), True, None), 3: (now, False, {"no_participation": 1}),
+    }
+
+
+def test_splits_that_cant_be_told(spark):
+    fields = [("A", "T1", "Nat", "swim", False), ("A", "T2", "Vélo", "bike", False), ("A", "T10", "Cap", "run", False), ("A", "T3", "Cap cumul", "run", True),
+              ("B", "T1", "Nat", "swim", False), ("B", "T10", "Cap 2", "run", False), ("B", "T2", "Cap 1", "run", False), ("B", "T3", "Total", None, None)]
+    f = spark.createDataFrame(fields, "race string, field string, label string, role string, cumulative boolean")
+    times = [("T1", "00:01:00"), ("T2", ""), ("T3", "00:02:00"), ("T10", "00:03:00"), ("T11", "00:09:00")]
+    v = spark.createDataFrame([(race, 1, *t) for race in "AB" for t in times] + [("A", 2, "T1", "00:00:00")], "race string, id int, field string, time string")
+    got = {r.race: [tuple(s) for s in r.splits] for r in rows.planned_splits(v, f, ["race"]).collect()}
+    assert got == {"A": [("swim", "00:01:00"), ("run", "00:03:00")], "B": [("Nat", "00:01:00"), ("Total", "00:02:00"), ("Cap 2", "00:03:00")]}
