@@ -1,4 +1,4 @@
-"""Writes that touch several tables: changing a course's source, whose ranking is replaced as a whole and never mixed, and deleting courses.
+"""Writes that touch several tables: changing a course's source, whose ranking is replaced as a whole and never mixed, deleting courses, merging two.
 
 ``fresh`` are the participations read from the new source, with the identity that it publishes (``name, event_date, event_type, course_relay``), resolved to ``course_id`` and ``athlete_id``.
 The result is all tables anew; `paceline.sources.snapshots.publish` writes them together or not at all.
@@ -87,3 +87,26 @@ def deleted(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame
         "log": tables["log"].unionByName(entry, allowMissingColumns=True) if "log" in tables else entry,
     }
     return tables | out
+
+
+def merged(tables: dict[str, DataFrame], course_id: int, absorbed_id: int) -> dict[str, DataFrame]:
+    """The course ``absorbed_id`` becomes part of ``course_id``: its active source moves there as a passive one, everything else of it goes.
+
+    The other course keeps its identity, its active source and its ranking. An address that it has already isn't added again, and passive sources of the absorbed
+    course go with it. People who were only there go. Merging a course with itself is an error before anything is read. If either course isn't there nothing changes.
+    """
+    if course_id == absorbed_id:
+        raise ValueError("a course can't be merged with itself")
+    courses, sources = tables["courses"], tables["sources"]
+    both = courses.where(F.col("id").isin(course_id, absorbed_id)).agg(F.count_distinct("id").alias("n")).where("n = 2").select(F.lit(absorbed_id).alias("id"))
+    gone = courses.where(F.col("id") == absorbed_id).select("id").join(both, "id", "left_semi")
+    after = deleted({k: v for k, v in tables.items() if k != "log"}, gone)
+    own = sources.where(F.col("course_id") == course_id).select("url")
+    active = sources.where((F.col("course_id") == absorbed_id) & F.col("is_active") & (F.coalesce("url", F.lit("")) != ""))
+    moved = active.join(gone.select(F.col("id").alias("course_id")), "course_id", "left_semi").join(own, "url", "left_anti")
+    moved = moved.withColumns({"course_id": F.lit(course_id).cast(dict(sources.dtypes)["course_id"]), "is_active": F.lit(False)}).select(sources.columns)
+    absorbed = after["log"].select(*(F.col(c).alias(f"absorbed_{c}") for c in IDENTITY), "n_deleted", "n_purged", F.lit(absorbed_id).cast("bigint").alias("absorbed_id"))
+    entry = absorbed.join(moved.agg((F.count("*") > 0).alias("source_added"), F.min("url").alias("source_url")), F.lit(True))  # single rows
+    entry = entry.select(F.lit("course.merge").alias("action"), F.lit(course_id).cast("bigint").alias("entity_id"), "*")
+    log = tables["log"].unionByName(entry, allowMissingColumns=True) if "log" in tables else entry
+    return after | {"sources": after["sources"].unionByName(moved), "log": log}

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.functions import splits
+from paceline.functions import cells, splits
 from paceline.functions.columns import column_roles, require
 from paceline.operators import chains, quality, reclassification, rows, switch
 from paceline.plans.bindings import WITH, Tables, query
@@ -309,3 +309,38 @@ def planned_splits(t: Tables) -> DataFrame:
     values = of.where("seconds IS NOT NULL").select("course_id", "id", "field", F.format_string("00:00:%02d", F.col("seconds") % 59 + 1).alias("time"))
     out = rows.planned_splits(values, fields, ["course_id"])
     return out.select("course_id", "id", F.array_join(F.transform("splits", lambda x: x["label"]), ">").alias("splits"))
+
+
+#: Two courses of which the second one's active source isn't among the first one's.
+KEPT, ABSORBED = 18, 12
+
+
+@query(
+    f"""WITH gone AS (SELECT DISTINCT athlete_id FROM parts WHERE course_id = {ABSORBED} AND athlete_id NOT IN (SELECT athlete_id FROM parts WHERE course_id <> {ABSORBED})),
+    moved AS (SELECT * FROM sources WHERE course_id = {ABSORBED} AND is_active AND url NOT IN (SELECT url FROM sources WHERE course_id = {KEPT}))
+    SELECT s.id, CASE WHEN s.course_id = {ABSORBED} THEN {KEPT} ELSE s.course_id END AS course_id, s.is_active AND s.course_id <> {ABSORBED} AS is_active, (SELECT count(*) FROM athletes WHERE id NOT IN (SELECT athlete_id FROM gone)) AS n_athletes,
+    (SELECT count(*) FROM parts WHERE course_id <> {ABSORBED}) AS n_parts, (SELECT count(*) FROM courses WHERE id <> {ABSORBED}) AS n_courses, (SELECT count(*) FROM gone) AS n_purged, (SELECT count(*) > 0 FROM moved) AS source_added
+    FROM sources s WHERE s.course_id <> {ABSORBED} OR s.id IN (SELECT id FROM moved)"""
+)
+def courses_merged(t: Tables) -> DataFrame:
+    after = switch.merged({"parts": t.parts, "courses": t.courses, "sources": t.sources, "athletes": t.athletes}, KEPT, ABSORBED)
+    out = after["sources"].select("id", F.col("course_id").cast("bigint").alias("course_id"), "is_active")
+    for name in ("athletes", "parts", "courses"):
+        out = out.join(after[name].agg(F.count("*").alias(f"n_{name}")), F.lit(True))
+    return out.join(after["log"].select("n_purged", "source_added"), F.lit(True))  # single rows
+
+
+@query(
+    """WITH c AS (SELECT *, CASE WHEN id % 2 = 0 AND id % 5 <> 0 THEN rank_category END AS shown FROM parts)
+    SELECT id, shown AS rank, CASE WHEN id % 5 = 0 THEN 'Féminin' ELSE trim(category) END AS label, trim(coalesce(club, '')) AS club, CASE WHEN coalesce(total_time, '') = '' THEN '' ELSE total_time END AS time FROM c"""
+)
+def decorated_cells(t: Tables) -> DataFrame:
+    """Categories with their rank before or behind them, some in several languages; clubs with an image; times with a rank in brackets."""
+    label = F.when(F.col("id") % 5 == 0, F.lit("{DE:Frauen|EN:Women|FR:Féminin}")).otherwise(F.trim("category"))
+    rank = F.col("rank_category").cast("string")
+    shown = (F.col("id") % 2 == 0) & F.col("rank_category").isNotNull() & (F.col("id") % 5 != 0)
+    cell = F.when(shown & (F.col("id") % 4 == 0), F.concat(rank, F.lit("."), label)).when(shown, F.concat(label, F.lit(" ("), rank, F.lit(")"))).otherwise(label)
+    club = F.concat(F.lit("[img:https://x.example/f.png] #"), F.coalesce("club", F.lit("")))
+    time = F.concat(F.coalesce("total_time", F.lit("")), F.when(F.col("id") % 3 == 0, F.lit(" (4.)")).otherwise(F.lit("")))
+    out = t.parts.select("id", cells.rank_and_label(cell).alias("c"), cells.clean_cell(club).alias("club"), cells.without_rank(time).alias("time"))
+    return out.select("id", "c.rank", "c.label", "club", "time")

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.functions import dates, disciplines, status, text, times, urls
+from paceline.functions import cells, dates, disciplines, status, text, times, urls
 from paceline.operators import catalogue, freshness, quality, upsert
 
 
@@ -41,6 +41,16 @@ def test_ranks_and_times(spark):
     assert tuple(got) == ([10, 20, 30], [], [10])
 
 
+def test_cells(spark):
+    each(spark, cells.one_language, {"{DE:Startnr|EN:Bib|FR:Dos.}": "Dos.", "{de:Nr|en:Bib}": "Bib", "{DE:|ES:Hola}": "Hola", "{FR:}": "{FR:}", "{Team: Bleu}": "{Team: Bleu}", "{FR:a|free}": "{FR:a|free}", "x {FR:a}": "x {FR:a}", "": "", None: None})
+    each(spark, cells.clean_cell, {"[img:https://x.example/a.png] # {EN:Men|FR:Masculin}": "Masculin", "## 12 ": "12", "\u00a0a\u00a0": "a", "Ann}": "Ann}", "": "", None: ""})
+    each(spark, lambda c: F.to_json(cells.rank_and_label(c)), {"1.S4M": '{"rank":1,"label":"S4M"}', "M0M ( 12 )": '{"rank":12,"label":"M0M"}', "#3. V1": '{"rank":3,"label":"V1"}', "SEF": '{"label":"SEF"}', None: '{"label":""}'})
+    each(spark, cells.without_rank, {"2:08:00 (1.)": "2:08:00", "TCN (1)": "TCN (1)", "a": "a", None: None})
+    each(spark, lambda c: cells.without_rank(c, strict=False), {"2:05:29 (2)": "2:05:29", "x (y)": "x (y)"})
+    whole = "<b>00:23:14</b><br/>P:2<br/><span>0.62%</span><br/><span>3.87 km/h</span>"
+    each(spark, lambda c: F.to_json(cells.segment_cell(c)), {whole: '{"time":"00:23:14","rank":2,"gap":"0.62%","speed":"3.87 km/h"}', "": '{"time":"","gap":"","speed":""}', None: '{"time":"","gap":"","speed":""}'})
+
+
 @pytest.mark.parametrize(("value", "size"), [(None, None), ("ALL", None), ("1", 1), (200, 200)])
 def test_page_sizes(value, size):
     assert catalogue.page_size_of(value) == size

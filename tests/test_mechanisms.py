@@ -284,6 +284,24 @@ def test_courses_are_deleted_with_what_hangs_on_them(spark):
     assert {k: v.count() for k, v in switch.deleted(tables, spark.createDataFrame([], "id int")).items()} == {k: v.count() for k, v in tables.items()} | {"log": 0}
 
 
+def test_courses_are_merged(spark):
+    tables = event_tables(spark)
+    after = switch.merged(tables, 2, 1)
+    assert [r.id for r in after["courses"].collect()] == [2] and [r.id for r in after["parts"].collect()] == [3]
+    assert sorted((r.id, r.course_id, r.is_active) for r in after["sources"].collect()) == [(5, 2, False), (7, 2, True)]  # the passive source of the absorbed course is gone
+    assert sorted(r.id for r in after["athletes"].collect()) == [11, 13]
+    (entry,) = after["log"].collect()
+    assert (entry.entity_id, entry.absorbed_id, entry.absorbed_name, entry.n_deleted, entry.n_purged, entry.source_added, entry.source_url) == (2, 1, "Tri", 3, 2, True, "old")
+    # an address that is known there isn't added; a course that isn't there changes nothing; nor can a course be merged with itself
+    known = tables | {"sources": tables["sources"].unionByName(spark.createDataFrame([(8, 2, "old", False)], tables["sources"].schema))}
+    assert sorted(r.id for r in switch.merged(known, 2, 1)["sources"].collect()) == [7, 8]
+    for pair in ((2, 99), (99, 1)):
+        nothing = switch.merged(tables, *pair)
+        assert {k: v.count() for k, v in nothing.items()} == {k: v.count() for k, v in tables.items()} | {"log": 0}
+    with pytest.raises(ValueError, match="with itself"):
+        switch.merged(tables, 5, 5)
+
+
 def test_import_is_finalized(spark):
     courses = spark.createDataFrame([(1, None, None), (2, dt.date(2020, 1, 1), True), (3, None, None)], "id int, scraped_at date, is_reliable_computed boolean")
     parts = spark.createDataFrame([(1, 1, "finisher", "1:00", 1, False), (2, 1, "finisher", "", 3, False), (3, 2, "?", None, None, None)], "id int, course_id int, status string, total_time string, rank_overall int, is_relay boolean")
