@@ -12,12 +12,17 @@ verified on the shingles themselves.
 Windows of one key whose surrounding shingles are equal form a class; its members are linked to one of
 them, first within a batch of a task, so that a passage that is everywhere leaves a row per batch. What is left
 of a key is compared pair by pair. Where that would be more than ``PAIRS`` windows, as with a line that many texts have,
-the key is too common to tell who belongs together, and other keys around it do: every run of shingles as long as a passage,
-which whoever repeats a passage word for word has in common, and the rarest shingles of every such run. Two runs of t shingles are
-similar if they share at least 2 s t / (1 + s) of them, so that of any order of shingles the first t - 2 s t / (1 + s) + 1 of the one
-hold one of the other. In the order taken, shingles of more than ``PAIRS`` such texts come last: a run with that many
-rarer ones meets whatever is similar to it under keys that few texts have, and all of those are compared pair by pair. Runs of popular shingles
-only are a class where these are the same, and classes of a key are compared pair by pair, or with the first beyond ``PAIRS``.
+the key is too common to tell who belongs together, and other keys around it do. Two runs of t shingles are
+similar if they share at least need = 2 s t / (1 + s) of them; of the shingles that they share, call those popular that more than ``PAIRS`` such texts have.
+
+- All are shared: whoever repeats a passage word for word has a run of t shingles in common, and is of one class.
+- One that isn't popular is shared: both runs have a window under it, at most ``PAIRS`` texts do, and all of these are compared pair by pair.
+- All of those shared are popular, but not all shingles are shared: at t - need places at most the runs differ, which at a similarity of 0.8 is one word that was changed, added
+  or left out. Both then have the same shingles before and after a gap of ``SHINGLE`` places (or one less), or one stretch of need shingles. Either is a key;
+  whatever has it in common is similar, so that all of a key are one class and links to one of them lose nothing.
+  Of equal runs without other than popular shingles one has such keys, and gaps begin where a shingle is followed by different ones in different places.
+
+At similarities so low that a run may differ by two words in its inside, gaps of two words aren't looked for.
 """
 
 from __future__ import annotations
@@ -225,6 +230,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], hashes: int, words: int) -> Itera
             if texts and sum(map(len, texts)) + len(w) > WORDS:
                 windows(ids, texts)
                 ids, texts = [], []
+            if len(w) >> PLACE_BITS:
+                raise ValueError(f"document {doc} has {len(w)} words, more than 2^{PLACE_BITS}")
             ids.append(doc)
             texts.append(w)
         if sum(len(x[0]) for x in held) >= LOCAL:
@@ -271,9 +278,9 @@ def runs_of(batches: Iterator[pa.RecordBatch], words: int, every: int) -> Iterat
 
 
 def popular(texts: DataFrame, words: int) -> np.ndarray:
-    """A table of 2^TABLE_BITS bits, set for shingles that more than ``PAIRS`` texts have near crowded keys.
+    """Two tables of 2^TABLE_BITS bits: set for shingles that more than ``PAIRS`` texts have near crowded keys, and for those of them that different shingles follow.
 
-    It only orders shingles: two that share a bit cost comparisons, not links. So its size is fixed, and nothing else comes to the driver.
+    Shingles that share a bit cost comparisons, not links: one that counts as popular in error is looked for as one. So the size is fixed, and nothing else comes to the driver.
     """
     reach = words - SHINGLE
 
@@ -287,32 +294,69 @@ def popular(texts: DataFrame, words: int) -> np.ndarray:
                 cover = np.zeros(len(shingles) + 1, np.int64)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + reach + 1, -1)
-                out.append(np.unique(shingles[np.cumsum(cover[:-1]) > 0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["shingle"])
+                covered = np.cumsum(cover[:-1]) > 0
+                own, then = shingles[covered], np.append(shingles[1:], np.uint64(0))[covered]  # the end of a text is another that follows
+                order = np.lexsort((then, own))
+                own, then = own[order], then[order]
+                first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+                out.append((own[first], then[first], then[np.append(first[1:], len(own)) - 1] if len(own) else own))
+            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "low", "high"])
 
     def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << PART_BITS, np.uint8)
-        bits[rows["bit"].to_numpy() & ((1 << PART_BITS) - 1)] = 1
+        bits = np.zeros((2, 1 << PART_BITS), np.uint8)
+        at = rows["bit"].to_numpy() & ((1 << PART_BITS) - 1)
+        bits[0, at], bits[1, at] = 1, rows["parts"].to_numpy()
         return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    often = texts.mapInArrow(near, "shingle long").groupBy("shingle").count().where(F.col("count") > PAIRS)
-    bit = often.select(F.col("shingle").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("bit")).distinct()
+    often = texts.mapInArrow(near, "shingle long, low long, high long").groupBy("shingle")
+    often = often.agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") > PAIRS)
+    bit = F.col("shingle").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).alias("bit")
+    bit = often.groupBy(bit).agg(F.max((F.col("low") != F.col("high")).cast("int")).alias("parts"))
     parts = bit.groupBy(F.shiftright("bit", PART_BITS).alias("part")).applyInPandas(table, "part long, bits binary").collect()
-    out = np.zeros((1 << (TABLE_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
+    out = np.zeros((2, 1 << (TABLE_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
     for r in parts:
-        out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
+        out[:, r.part] = np.frombuffer(r.bits, np.uint8).reshape(2, -1)
+    return out.reshape(2, -1)
+
+
+def flagged(bits: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    bit = (shingles & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    return (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+
+
+def need_of(words: int, similarity: float) -> tuple[int, int]:
+    """Shingles of a run of the shortest passage's length, and how many of them a similar one has."""
+    t = words - SHINGLE + 1
+    return t, int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
+
+
+def gap_keys(hasher: Shingles, shingles: np.ndarray, at: np.ndarray, before: np.ndarray, gap: np.ndarray, need: int) -> np.ndarray:
+    """One hash of the ``before`` shingles from ``at`` and of the rest of ``need`` after the gap; without ``before``, of ``need`` shingles in a row."""
+    head, tail = hasher.runs(shingles, at, at + before), hasher.runs(shingles, at + before + gap, at + gap + need)
+    return mixed(tail + np.where(before > 0, mixed(head + before.astype(np.uint64)), np.uint64(0)))
+
+
+def wide(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Windows wider by one place, as after a word that was added or left out the two sides are one place apart."""
+    return packed(place, place - low + 1, high - place + 1)
+
+
+def gap_rows(doc: int, keys: np.ndarray, at: np.ndarray, before: np.ndarray, gap: np.ndarray, need: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows under keys with a gap, aligned at the longer side of it."""
+    place = np.where(2 * before >= need, at, at + before + gap)
+    return keys.view(np.int64), np.zeros(len(at), np.int64), np.full(len(at), doc, np.int64), wide(place, low, high)
 
 
 def rarest_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similarity: float, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The same texts: windows under the rarest shingles of each run that holds a crowded key.
+    """The same texts: windows under shingles that aren't popular, of each run that holds a crowded key.
 
-    A run of which enough shingles are rare has rows under those alone; another one also under popular ones, and
-    is of one class with runs whose popular shingles are the same.
+    Of a run with as many of them as a similar one can't lack together, some are enough. A run with fewer has all of them, and keys with a gap that holds them all;
+    a stretch of popular ones that is shorter than a run, but not by more than may be missing, is a key.
     """
     hasher, reach = Shingles(), words - SHINGLE
-    t = reach + 1
-    enough = t - int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9)) + 1
+    t, need = need_of(words, similarity)
+    enough = t - need + 1
     taken = min(t, enough + SPARE)
     for b in batches:
         held = []
@@ -321,46 +365,119 @@ def rarest_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similar
             at, begin, end = around_keys(found, reach)
             if not len(at):
                 continue
-            bit = (shingles & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-            common = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            common = flagged(bits[0], shingles)
             rank = (shingles >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
-            n_common = np.r_[0, np.cumsum(common, dtype=np.int64)]
-            n_common = n_common[at + t] - n_common[at]
+            rare = np.r_[0, np.cumsum(1 - common.astype(np.int64))]
+            n_rare = rare[at + t] - rare[at]
             places, runs = [], []
-            for i in range(0, len(at), RUNS):
-                part = at[i : i + RUNS]
-                in_run = np.lib.stride_tricks.sliding_window_view(rank, t)[part]
+            some = np.flatnonzero(n_rare)
+            for i in range(0, len(some), RUNS):
+                part = some[i : i + RUNS]
+                in_run = np.lib.stride_tricks.sliding_window_view(rank, t)[at[part]]
                 least = np.argpartition(in_run, taken - 1, axis=1)[:, :taken]
-                few = (t - n_common[i : i + RUNS] < enough)[:, None]
-                take = (np.take_along_axis(in_run, least, axis=1) >> np.uint64(63) == 0) | few
-                places.append((part[:, None] + least)[take])
-                runs.append(np.broadcast_to(np.arange(i, i + len(part))[:, None], least.shape)[take])
-            place, run = np.concatenate(places), np.concatenate(runs)
-            # of the runs that a place is rarest in, the one with most popular shingles tells the class
-            order = np.lexsort((-n_common[run], place))
-            place, run = place[order], run[order]
-            first = np.flatnonzero(np.diff(place, prepend=-1))
-            low, high = np.minimum.reduceat(begin[run], first), np.maximum.reduceat(end[run], first)
-            place, run = place[first], run[first]
-            pack = packed(place, place - low, high - place)
-            docs = np.full(len(place), doc, np.int64)
-            own = mixed(mixed(docs.view(np.uint64)) + pack.view(np.uint64))
-            sums = np.zeros(len(shingles) + 1, np.uint64)
-            np.cumsum(mixed(shingles) * common, out=sums[1:])
-            of_class = mixed(sums[at + t] - sums[at])[run]
-            around = np.where(t - n_common[run] < enough, of_class, own).view(np.int64)
-            held.append((shingles[place].view(np.int64), around, docs, pack))
-        if held:
+                take = np.take_along_axis(in_run, least, axis=1) >> np.uint64(63) == 0
+                places.append((at[part][:, None] + least)[take])
+                runs.append(np.broadcast_to(part[:, None], least.shape)[take])
+            if places:
+                place, run = np.concatenate(places), np.concatenate(runs)
+                order = np.argsort(place, kind="stable")
+                place, run = place[order], run[order]
+                first = np.flatnonzero(np.diff(place, prepend=-1))
+                low, high = np.minimum.reduceat(begin[run], first), np.maximum.reduceat(end[run], first)
+                place = place[first]
+                pack = packed(place, place - low, high - place)
+                left, right = np.minimum(place - low, reach), np.minimum(high - place, reach)
+                around = mixed(hasher.runs(shingles, place - left, place + right + 1) + left.astype(np.uint64)).view(np.int64)
+                held.append((shingles[place].view(np.int64), around, np.full(len(place), doc, np.int64), pack))
+            # the first and the last rare shingle of runs with few of them
+            where = np.flatnonzero(common == 0)
+            few = np.flatnonzero((n_rare > 0) & (n_rare < enough))
+            i, j = where[rare[at[few]]] - at[few], where[rare[at[few] + t] - 1] - at[few]
+            for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
+                low, high = np.maximum(j - gap + 1, 1), np.minimum(i, need - 1)
+                count = np.maximum(high - low + 1, 0)
+                of = np.repeat(np.arange(len(few)), count)
+                before = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                run = few[of]
+                size = np.full(len(run), gap)
+                keys = gap_keys(hasher, shingles, at[run], before, size, need)
+                held.append(gap_rows(doc, keys, at[run], before, size, need, begin[run], end[run]))
+            edge = np.diff(np.r_[0, common.astype(np.int8), 0])
+            start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            short = (stop - start >= need) & (stop - start < t)
+            for a, e in zip(start[short].tolist(), stop[short].tolist(), strict=True):
+                s = np.arange(a, e - need + 1)
+                k = np.searchsorted(at, s)  # a run that holds the stretch, if there is one
+                k = np.where((k < len(at)) & (at[np.minimum(k, len(at) - 1)] == s), k, k - 1)
+                ok = (k >= 0) & (at[np.maximum(k, 0)] <= s) & (at[np.maximum(k, 0)] + t >= s + need)
+                s, k = s[ok], k[ok]
+                none = np.zeros(len(s), np.int64)
+                held.append(gap_rows(doc, gap_keys(hasher, shingles, s, none, none, need), s, none, none, need, begin[k], end[k]))
+        if sum(len(x[0]) for x in held):
+            yield local(held, words, every)
+
+
+def popular_runs(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of popular shingles only, some of which are followed by different ones: ``run``, ``doc``, where it begins, and the window around it."""
+    hasher, reach = Shingles(), words - SHINGLE
+    t = reach + 1
+    names = ["run", "doc", "at", "begin", "end"]
+    for b in batches:
+        out = [(np.zeros(0, np.int64),) * len(names)]
+        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            shingles = hasher.of(words_of(data))
+            at, begin, end = around_keys(found, reach)
+            common, parts = (np.r_[0, np.cumsum(flagged(x, shingles), dtype=np.int64)] for x in bits)
+            k = np.flatnonzero((common[at + t] - common[at] == t) & (parts[at + t] > parts[at]))
+            run = hasher.runs(shingles, at[k], at[k] + t).view(np.int64)
+            run, first = np.unique(run, return_index=True)
+            k = k[first]
+            out.append((run, np.full(len(k), doc, np.int64), at[k], begin[k], end[k]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+
+def gaps_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similarity: float, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts with their runs of popular shingles that no text before has: windows under keys with a gap, and under the first ``need`` shingles."""
+    hasher = Shingles()
+    t, need = need_of(words, similarity)
+    for b in batches:
+        held = []
+        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            shingles = hasher.of(words_of(data))
+            at, begin, end = (np.array([r[x] for r in found], np.int64) for x in ("at", "begin", "end"))
+            parts = flagged(bits[1], shingles)
+            for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
+                for i in range(0, len(at), RUNS):
+                    run, before = np.nonzero(parts[at[i : i + RUNS, None] + np.arange(need - 1)])
+                    run, before, size = run + i, before + 1, np.full(len(run), gap)
+                    keys = gap_keys(hasher, shingles, at[run], before, size, need)
+                    held.append(gap_rows(doc, keys, at[run], before, size, need, begin[run], end[run]))
+            if need < t:  # what two runs have at their ends, or at their beginnings, and nothing else
+                s = at[:, None] + np.arange(t - need + 1)
+                run, off = np.nonzero(parts[s + need - 1])
+                s, none = s[run, off], np.zeros(len(run), np.int64)
+                held.append(gap_rows(doc, gap_keys(hasher, shingles, s, none, none, need), s, none, none, need, begin[run], end[run]))
+        if sum(len(x[0]) for x in held):
             yield local(held, words, every)
 
 
 def linked(batches: Iterator[pa.RecordBatch], words: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Over rows ordered by (is a link, key): links, as they are and made here; and windows of crowded keys, as ``doc`` and ``first`` without a partner."""
+    """Over rows ordered by (is a link, key): links, as they are and made here.
+
+    Of compact windows, those of crowded keys are given as ``doc`` and ``first`` without a partner. Keys of other kinds (``every``) are never too crowded: few texts have them,
+    or all their windows are of one class.
+    """
     t = words - SHINGLE + 1
 
     def made(key: np.ndarray, around: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, to, _ = classed(key, around, doc, pack)
         key, doc, pack = key[order], doc[order], pack[order]
+
+        def links(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(x), LOCAL):
+                a, e = x[i : i + LOCAL], y[i : i + LOCAL]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, stretches(bits_of(key[a], every), doc[a], pack[a], doc[e], pack[e], t))], LINK)
+
         own = np.flatnonzero(to >= 0)
         out = [(own, to[own])]
         rest = np.flatnonzero(to < 0)
@@ -368,23 +485,21 @@ def linked(batches: Iterator[pa.RecordBatch], words: int, every: int) -> Iterato
         first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
         count = np.diff(np.append(first, len(k)))
         shared = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) if len(k) else np.zeros(0, bool)
-        few = rest[np.repeat(shared & (count <= PAIRS), count)]
-        for gap in range(1, min(PAIRS, len(few))):
-            x, y = few[gap:], few[:-gap]
-            fit = key[x] == key[y]
-            if not fit.any():
-                break
-            fit &= doc[x] != doc[y]
-            out.append((x[fit], y[fit]))
-        many = rest[np.repeat(shared & (count > PAIRS), count)]
-        if len(many):
-            order, near, _ = classed(key[many], np.zeros(len(many), np.int64), doc[many], pack[many])
-            x = np.flatnonzero(near >= 0)
-            out.append((many[order[x]], many[order[near[x]]]))
-        x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-        for i in range(0, len(x), LOCAL):
-            a, e = x[i : i + LOCAL], y[i : i + LOCAL]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, stretches(bits_of(key[a], every), doc[a], pack[a], doc[e], pack[e], t))], LINK)
+        few = shared & (count <= PAIRS) if not every else shared
+        at = np.flatnonzero(np.repeat(few, count))  # places in ``rest`` whose key goes on for another ``gap`` places
+        gap = 0
+        while len(at):
+            gap += 1
+            at = at[at + gap < len(rest)]
+            at = at[k[at] == k[at + gap]]
+            fit = at[d[at] != d[at + gap]]
+            out.append((rest[fit + gap], rest[fit]))
+            if sum(len(x) for x, _ in out) > LOCAL:
+                yield from links(*(np.concatenate(z) for z in zip(*out, strict=True)))
+                out = []
+        if out:
+            yield from links(*(np.concatenate(z) for z in zip(*out, strict=True)))
+        many = rest[np.repeat(shared & (count > PAIRS), count)] if not every else rest[:0]
         if len(many):
             none = pa.nulls(len(many), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(doc[many]), none, none, pa.array(pack[many]), none, none], LINK)
@@ -425,8 +540,15 @@ def candidates(docs: DataFrame, hashes: int, words: int, similarity: float) -> D
     crowded = met.where("to_doc IS NULL").groupBy("doc").agg(F.collect_list(F.struct(F.col("first").alias("pack"))).alias("found"))
     texts = staged(docs.join(crowded, docs.doc_id == crowded.doc).select("doc_id", "data", "found"))
     bits = docs.sparkSession.sparkContext.broadcast(popular(texts, words))
-    for keys in (lambda batches: runs_of(batches, words, every), lambda batches: rarest_of(batches, words, every, similarity, bits.value)):
-        met = met.unionByName(links(texts.mapInArrow(keys, ROW), every))
+    run = texts.mapInArrow(lambda batches: popular_runs(batches, words, bits.value), "run long, doc long, at long, begin long, end long")
+    run = run.groupBy("run").agg(F.min(F.struct("doc", "at", "begin", "end")).alias("r")).groupBy("r.doc").agg(F.collect_list(F.struct("r.at", "r.begin", "r.end")).alias("found"))
+    having = texts.drop("found").join(run, texts.doc_id == run.doc).select("doc_id", "data", "found")
+    rows = [
+        texts.mapInArrow(lambda batches: runs_of(batches, words, every), ROW),
+        texts.mapInArrow(lambda batches: rarest_of(batches, words, every, similarity, bits.value), ROW),
+        having.mapInArrow(lambda batches: gaps_of(batches, words, every, similarity, bits.value), ROW),
+    ]
+    met = met.unionByName(links(rows[0].unionByName(rows[1]).unionByName(rows[2]), every))
     met = met.where(F.col("to_doc").isNotNull()).groupBy("doc", "to_doc", "shift")
     return met.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bit_count(F.bit_or("hash").bitwiseAND(every)).alias("hashes"))
 

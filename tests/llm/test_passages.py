@@ -122,3 +122,23 @@ def test_every_occurrence_within_a_text(spark):
     for k in range(10):
         assert any(s.begin <= 100 * k + 30 and 100 * k + 100 <= s.end for s in got[1].passages), k
     assert got[2].component_id == 1 and got[3].n_passages == 0
+
+
+def test_recall_where_common_lines_are_combined_freely(spark):
+    """Texts of lines out of one pool, and pairs that hold the same two lines side by side, one of them with a word changed: every pair is linked."""
+    text = texts_of(16)
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+        pool = [text(25) for _ in range(12)]
+        texts = {d: sum((pool[k] for k in rng.permutation(12)[:8]), []) for d in range(300)}
+        for k in range(30):
+            a, b = rng.permutation(12)[:2]
+            both = pool[a] + pool[b]
+            edited = both.copy()
+            edited[int(rng.integers(5, 45))] = text(1)[0]
+            texts |= {1000 + 2 * k: text(30) + both + text(30), 1001 + 2 * k: text(40) + edited + text(20)}
+        got = passages_of(spark, texts)
+        assert all(got[1000 + 2 * k].component_id == got[1001 + 2 * k].component_id for k in range(30))
+        for k in range(30):
+            for d, begin in ((1000 + 2 * k, 30), (1001 + 2 * k, 40)):
+                assert any(s.begin <= begin and begin + 50 <= s.end for s in got[d].passages), d
