@@ -22,7 +22,7 @@ similar if they share at least need = 2 s t / (1 + s) of them; of the shingles t
   whatever has it in common is similar, so that all of a key are one class and links to one of them lose nothing.
   Of equal runs without other than popular shingles one has such keys, and gaps begin where a shingle is followed by different ones in different places.
 
-At similarities so low that a run may differ by two words in its inside, gaps of two words aren't looked for.
+At similarities so low that a run may differ by two words in its inside, gaps of two words aren't looked for; nor are runs that share popular shingles only and have them in another order.
 """
 
 from __future__ import annotations
