@@ -7,6 +7,7 @@ the columns is written separately: with the operators of this package on one sid
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from paceline.functions.times import format_seconds
 #: Labels of the club that club queries are about, in comparable form, and its name.
 CLUB_LABELS, CLUB_NAME = ("tri club", "tc"), "Tri Club"
 PLATFORMS = ("plata", "platb")
+#: Rows of a table for each task after `Tables.dealt`, so that a task's memory doesn't grow with the table.
+TASK_ROWS = 500_000
 #: The day that queries take for today.
 TODAY = "2024-02-15"
 
@@ -92,6 +95,15 @@ class Tables:
     def bound(self, name: str, columns: dict[str, str]) -> DataFrame:
         return self.table(name).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks that share the rows of ``lineitem``, the largest table; its rows are counted from the files' footers."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // TASK_ROWS))
+
+    def dealt(self, df: DataFrame, *by: str) -> DataFrame:
+        """``df`` by ``by`` in as many parts as the rows ask for: partitions by size in bytes hold many rows of narrow columns, as these shrink much when they are packed."""
+        return df.repartition(self.tasks, *by)
+
     @property
     def athletes(self) -> DataFrame:
         return self.bound("customer", ATHLETES)
@@ -110,14 +122,13 @@ class Tables:
 
     @property
     def segments(self) -> DataFrame:
-        """One row per participation and segment: repeated line numbers of an order are one."""
-        return self.bound("lineitem", SEGMENTS).groupBy("id", "pos", "label").agg(F.min("seconds").alias("seconds"))
+        """One row per participation and segment: repeated line numbers of an order are one. Dealt by participation once, which holds for all that follows."""
+        return self.dealt(self.bound("lineitem", SEGMENTS), "id").groupBy("id", "pos", "label").agg(F.min("seconds").alias("seconds"))
 
     @property
     def long_splits(self) -> DataFrame:
-        """`segments` with the times that splits have: null for ``t1`` of odd length. Dealt by participation once, which holds for all that follows."""
-        of = self.bound("lineitem", SEGMENTS).repartition("id").groupBy("id", "pos", "label").agg(F.min("seconds").alias("seconds"))
-        return of.withColumn("seconds", F.when((F.col("label") != "t1") | (F.col("seconds") % 2 == 0), F.col("seconds")))
+        """`segments` with the times that splits have: null for ``t1`` of odd length."""
+        return self.segments.withColumn("seconds", F.when((F.col("label") != "t1") | (F.col("seconds") % 2 == 0), F.col("seconds")))
 
     @property
     def timed_parts(self) -> DataFrame:

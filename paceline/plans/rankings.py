@@ -31,7 +31,7 @@ def rank_in_set(t: Tables) -> DataFrame:
 
 @query(f"WITH {GRID} SELECT course_id, id, label, pos, seconds, cumulative FROM c")
 def cumulative_segments(t: Tables) -> DataFrame:
-    out = ranking.segment_rows(t.parts, t.long_splits)
+    out = ranking.segment_rows(t.dealt(t.parts, "id"), t.long_splits)
     return out.select("course_id", "id", "label", F.col("pos").cast("bigint").alias("pos"), "seconds", "cumulative")
 
 
