@@ -42,7 +42,7 @@ def cumulative_segments(t: Tables) -> DataFrame:
     WHERE (CASE WHEN r.last THEN coalesce(p.rank_overall, rc) ELSE rc END) IS NOT NULL AND ri IS NOT NULL"""
 )
 def rank_evolution(t: Tables) -> DataFrame:
-    of = ranking.evolution(ranking.segment_rows(t.parts, t.long_splits))
+    of = ranking.evolution(ranking.segment_rows(t.dealt(t.parts, "id"), t.long_splits), t.tasks)
     return of.select("course_id", "id", *(F.col(c).cast("bigint").alias(c) for c in ("pos", "rank_cumulative", "rank_isolated")))
 
 

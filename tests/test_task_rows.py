@@ -25,3 +25,9 @@ def test_cumulative_segments_hold_few_rows_a_task(spark, sf, small_tasks):
     assert "hashpartitioning(id#" in (p := plan(catalogue.queries()["cumulative_segments"](spark, sf)))
     # both sides of the join by participation, once for the labels and once for the sums
     assert sum(f", {n})" in line.replace("), REPARTITION_BY_NUM", ")") and "REPARTITION_BY_NUM" in line for line in p.splitlines()) >= 3
+
+
+def test_rank_evolution_sorts_few_rows_a_task(spark, sf, small_tasks):
+    n = bindings.Tables(spark, sf).tasks
+    p = plan(catalogue.queries()["rank_evolution"](spark, sf))
+    assert any("hashpartitioning(course_id#" in x and f", {n}), REPARTITION_BY_NUM" in x for x in p.splitlines())
