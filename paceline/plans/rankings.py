@@ -115,8 +115,12 @@ POINTS = "SELECT l_orderkey AS race, l_suppkey AS runner, l_linenumber AS point,
 
 
 def points(t: Tables) -> DataFrame:
-    of = t.table("lineitem").groupBy(F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("runner"), F.col("l_linenumber").alias("point"))
-    return of.agg(F.min(F.bround("l_quantity").cast("bigint")).alias("segment"), F.min(F.bround("l_extendedprice").cast("bigint")).alias("cumulative"))
+    """One row per passage, dealt by race once, which holds for all that follows."""
+    of = t.table("lineitem").select(
+        F.col("l_orderkey").alias("race"), F.col("l_suppkey").alias("runner"), F.col("l_linenumber").alias("point"),
+        F.bround("l_quantity").cast("bigint").alias("segment"), F.bround("l_extendedprice").cast("bigint").alias("cumulative"),
+    )
+    return t.dealt(of, "race").groupBy("race", "runner", "point").agg(F.min("segment").alias("segment"), F.min("cumulative").alias("cumulative"))
 
 
 @query(

@@ -31,3 +31,9 @@ def test_rank_evolution_sorts_few_rows_a_task(spark, sf, small_tasks):
     n = bindings.Tables(spark, sf).tasks
     p = plan(catalogue.queries()["rank_evolution"](spark, sf))
     assert any("hashpartitioning(course_id#" in x and f", {n}), REPARTITION_BY_NUM" in x for x in p.splitlines())
+
+
+def test_final_passages_hold_few_rows_a_task(spark, sf, small_tasks):
+    n = bindings.Tables(spark, sf).tasks
+    p = plan(catalogue.queries()["final_passages"](spark, sf))
+    assert sum("Exchange" in x for x in p.splitlines()) == 1 and f", {n}), REPARTITION_BY_NUM" in p
