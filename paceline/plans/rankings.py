@@ -69,8 +69,7 @@ def reference_comparison(t: Tables) -> DataFrame:
 )
 def improvement_whatif(t: Tables) -> DataFrame:
     totals = timed(t).select("course_id", "id", F.col("seconds").alias("total"))
-    segments = t.segments.where("NOT (label = 't1' AND seconds % 2 = 1)").join(t.parts.select("id", "course_id"), "id")
-    out = ranking.improvement(totals, segments)
+    out = ranking.improvement(totals, t.segments.where("NOT (label = 't1' AND seconds % 2 = 1)"))
     return out.select("course_id", "id", "label", "gain", F.col("place").cast("bigint").alias("place"), F.col("places_won").cast("bigint").alias("places_won"))
 
 

@@ -7,6 +7,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_improvement_reads_totals_once(spark, sf):
+    p = plan(catalogue.queries()["improvement_whatif"](spark, sf))
+    assert sum("FileScan" in x and "o_totalprice" in x for x in p.splitlines()) == 1
+
+
 def test_chains_are_walked_once_for_equal_legs(spark, sf):
     """The walk stands above the grouping by legs and nowhere below it, so it isn't done for each participation."""
     p = plan(catalogue.queries()["segment_chains"](spark, sf))
