@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +120,29 @@ def decode(data: bytes, offsets: bytes, n: int, table: tuple[np.ndarray, np.ndar
     return out.reshape(-1)[:n]
 
 
+class Remembered(dict):
+    """Words to their packed ids; those of a new word are found when it is looked up."""
+
+    def __init__(self, path: str, kind: str):
+        super().__init__()
+        self.path, self.kind = path, np.dtype(kind)
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = packed = np.array(vocab.merged(self.path, word), self.kind).tobytes()
+        return packed
+
+
+@cache
+def remembered(path: str, kind: str) -> Remembered:
+    """One memory for all tasks of a process."""
+    return Remembered(path, kind)
+
+
 class Encoder:
     """Texts to ids as packed integers; ids of words that were met lately are remembered."""
 
     def __init__(self, path: str, kind: str):
-        self.path, self.kind, self.seen = path, np.dtype(kind), vocab.memory(path, kind)
+        self.path, self.kind, self.seen = path, np.dtype(kind), remembered(path, kind)
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -132,14 +151,9 @@ class Encoder:
         if vocab.OUTSIDE.search(text):
             return self.pack(vocab.tokenizer(self.path).encode(text, add_special_tokens=False).ids)
         found = vocab.WORD_RULE.findall(text.lower())
-        packed = list(map(self.seen.get, found))
-        if None in packed:
-            if len(self.seen) > vocab.REMEMBERED:
-                self.seen.clear()
-            new = {x: self.pack(vocab.merged(self.path, x)) for x in {x for x, p in zip(found, packed, strict=True) if p is None}}
-            self.seen.update(new)
-            packed = [new[x] if p is None else p for x, p in zip(found, packed, strict=True)]
-        return b"".join(packed)
+        if len(self.seen) > vocab.REMEMBERED:
+            self.seen.clear()
+        return b"".join(map(self.seen.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         t = vocab.tokenizer(self.path)
@@ -175,11 +189,7 @@ def id_counts(ids: DataFrame, kind: str, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=n)[:n] if len(x) > 4 * n else 0
-                if len(x) <= 4 * n:
-                    some, k = np.unique(np.frombuffer(x, kind), return_counts=True)
-                    total[some] += k
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=n)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
