@@ -12,6 +12,8 @@ from paceline.runtime import ship
 
 #: Rows in an Arrow batch handed to Python. Texts can be long, so batches are small.
 BATCH_ROWS = 256
+#: Shuffle files go when a query ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -38,11 +40,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+def staged(df: DataFrame, codec: str = "zstd", tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing.
+
+    ``tidy`` has Spark remove the shuffle files of this write at its end, rather than at some garbage collection of the driver.
+    """
     spark = df.sparkSession
     at = scratch(spark)
-    df.write.option("compression", codec).parquet(at)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(at)
 
 

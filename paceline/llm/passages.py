@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,12 @@ TABLE_BITS, PART_BITS = 24, 18
 RUNS, SPARE = 4096, 2
 #: Alignments of two texts that are verified one by one; with more of them (texts that repeat themselves), the texts are compared at once.
 ALIGNMENTS = 64
+#: Runs of matches up to which stretches are looked for run by run.
+FEW = 24
+#: Bytes of texts whose crowded keys are looked at together.
+TEXTS = 1 << 19
+#: Bytes of text compared at once with the other sides.
+CHECKED = 1 << 19
 #: Reach of a window to either side that is kept; wider windows are cut to it, their passages are found in several.
 REACH = (1 << 16) - 1
 
@@ -88,12 +95,33 @@ class Shingles:
         a, b = begin[: len(begin) - SHINGLE + 1], end[SHINGLE - 1 :]
         return mixed((sums[b] - sums[a]) * self.inverse[a])
 
-    def runs(self, shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """One hash for each run ``[begin, end)`` of shingles."""
+    def sums(self, shingles: np.ndarray) -> np.ndarray:
+        """What ``between`` needs of them."""
         self.grow(len(shingles))
-        sums = np.r_[np.uint64(0), np.cumsum(mixed(shingles) * self.power[: len(shingles)])]
+        return np.r_[np.uint64(0), np.cumsum(mixed(shingles) * self.power[: len(shingles)])]
+
+    def between(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash for each run ``[begin, end)`` of shingles."""
         return mixed((sums[end] - sums[begin]) * self.inverse[begin])
 
+    def runs(self, shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.between(self.sums(shingles), begin, end)
+
+
+def smaller(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1; ``first`` marks where strings begin, beyond which nothing is looked for.
+
+    Whatever stands between a place and the one it points to is larger, so that a pointer can be followed by that of its place, finished or not.
+    """
+    at = np.arange(len(value))
+    out = np.where(first, -1, at - 1)
+    at = at[~first]
+    while len(at):
+        at = at[value[out[at]] > value[at]]
+        out[at] = out[out[at]]
+        at = at[out[at] >= 0]
+    return out
+
 
 def compact_windows(shingles: np.ndarray, ends: np.ndarray, hashes: int, words: int) -> list[tuple[np.ndarray, ...]]:
     """For every hash function: keys, string number, places, reaches to the left and to the right; one window per occurrence.
@@ -113,22 +141,17 @@ def compact_windows(shingles: np.ndarray, ends: np.ndarray, hashes: int, words:
         h = mixed(shingles + np.uint64((k + 1) * int(BASE) % (1 << 64)))
         rank = (h & ~place) | np.arange(n, dtype=np.uint64)
         least = sliding_min(rank, t)
-        c = np.unique((least[room[: len(least)]] & place).astype(np.int64))
+        chosen = np.zeros(n, bool)
+        chosen[(least[room[: len(least)]] & place).astype(np.int64)] = True
+        c = np.flatnonzero(chosen)
         if not len(c):
             continue
         of = string[c]
-        low, high, stack, now = begins[of], ends[of] - SHINGLE, [], -1
-        value, lo, hi = rank[c].tolist(), low.tolist(), high.tolist()
-        at = c.tolist()
-        for i, s in enumerate(of.tolist()):
-            if s != now:
-                stack, now = [], s
-            while stack and value[stack[-1]] > value[i]:
-                hi[stack.pop()] = at[i] - 1
-            if stack:
-                lo[i] = at[stack[-1]] + 1
-            stack.append(i)
-        left, right = c - np.array(lo), np.array(hi) - c
+        value, one = rank[c], np.diff(of, prepend=-1) != 0
+        lower, upper = smaller(value, one), len(c) - 1 - smaller(value[::-1], np.append(one[1:], True)[::-1])[::-1]
+        lo = np.where(lower >= 0, c[lower] + 1, begins[of])
+        hi = np.where(upper < len(c), c[np.minimum(upper, len(c) - 1)] - 1, ends[of] - SHINGLE)
+        left, right = c - lo, hi - c
         key = (h[c] & ~np.uint64(7)) | np.uint64(k)
         wide = left + right + 1 >= t
         out.append(tuple(x[wide] for x in (key, of, c - begins[of], left, right)))
@@ -144,7 +167,12 @@ def classed(key: np.ndarray, around: np.ndarray, doc: np.ndarray, pack: np.ndarr
 
     Of a text's windows of one class only the widest counts: whatever shortest passage it is in, the others are in the same.
     """
-    order = np.lexsort((pack, -((pack >> 16) & REACH) - (pack & REACH), doc, around, key))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    again = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+    some = order[again]
+    p = pack[some]
+    order[again] = some[np.lexsort((p, -((p >> 16) & REACH) - (p & REACH), doc[some], around[some], key[some]))]
     k, a, d = key[order], around[order], doc[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
@@ -243,38 +271,71 @@ def rows_of(batches: Iterator[pa.RecordBatch], hashes: int, words: int) -> Itera
         yield local(held, words, 0)
 
 
-def around_keys(found: list[dict], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the runs of ``reach`` + 1 shingles that hold a crowded key, in order, and how far the windows of such keys reach together."""
-    pack = np.array([r["pack"] for r in found], np.int64)
-    c, left, right = pack >> 32, (pack >> 16) & REACH, pack & REACH
-    before = np.minimum(left, reach)
-    count = np.maximum(before + np.minimum(0, right - reach) + 1, 0)
-    of = np.repeat(np.arange(len(c)), count)
-    at = (c - before)[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    order = np.argsort(at, kind="stable")
-    at, of = at[order], of[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    if not len(at):
-        return at, at, at
-    return at[first], np.minimum.reduceat((c - left)[of], first), np.maximum.reduceat((c + right)[of], first)
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], words: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Texts with ``pack`` of windows of crowded keys: a window for each run of the shortest passage's length that holds such a key, under the run as key.
-
-    A run that holds several keys has one window, as wide as theirs together.
-    """
-    hasher, reach = Shingles(), words - SHINGLE
+def places_of(hasher: Shingles, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of texts of words that single spaces join, hashed at once; where those of each text begin and end among them."""
+    count = np.array([x.count(b" ") + 1 for x in texts], np.int64)
+    begin = np.cumsum(count) - count
+    return hasher.joined(b" ".join(texts)), begin, begin + np.maximum(count - SHINGLE + 1, 0)
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges ``[begin, end)``, one after the other, and which range each is of."""
+    count = np.maximum(end - begin, 0)
+    of = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(of)) + (begin - np.cumsum(count) + count)[of], of
+
+
+class Texts:
+    """Some texts whose shingles are hashed at once: places run over all of them, ``begin`` and ``end`` are those of each text."""
+
+    def __init__(self, hasher: Shingles, doc: np.ndarray, data: list[bytes], found: pa.Array) -> None:
+        self.hasher, self.doc = hasher, doc
+        self.shingles, self.begin, self.end = places_of(hasher, [b" ".join(words_of(x)) for x in data])
+        fields = found.flatten()
+        of = np.repeat(np.arange(len(doc)), found.value_lengths().to_numpy())
+        self.found = {fields.type.field(i).name: fields.field(i).to_numpy() for i in range(fields.type.num_fields)}
+        self.of, self.first = of, self.begin[of]
+        self.sums = hasher.sums(self.shingles)
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """Which text each place is in."""
+        return np.searchsorted(self.begin, at, "right") - 1
+
+    def runs(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.hasher.between(self.sums, begin, end)
+
+    def rows(self, key: np.ndarray, around: np.ndarray | None, at: np.ndarray, low: np.ndarray, high: np.ndarray, slack: int = 0) -> tuple[np.ndarray, ...]:
+        """Windows ``(key, around, doc, pack)`` at places whose text has them from ``low`` to ``high``, and ``slack`` more."""
+        of = self.text(at)
+        around = np.zeros(len(at), np.int64) if around is None else around.view(np.int64)
+        return key.view(np.int64), around, self.doc[of], packed(at - self.begin[of], at - low + slack, high - at + slack)
+
+    def around_keys(self, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the runs of ``reach`` + 1 shingles that hold a crowded key, in order, and how far the windows of such keys reach together."""
+        pack = self.found["pack"]
+        c, left, right = (pack >> 32) + self.first, (pack >> 16) & REACH, pack & REACH
+        before = np.minimum(left, reach)
+        count = np.maximum(before + np.minimum(0, right - reach) + 1, 0)
+        at, of = ranges(c - before, c - before + count)
+        if not len(at):
+            return at, at, at
+        order = np.argsort(at, kind="stable")
+        at, of = at[order], of[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[first], np.minimum.reduceat((c - left)[of], first), np.maximum.reduceat((c + right)[of], first)
+
+
+def some_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
+    """Batches ``(doc_id, data, found)`` as texts of ``TEXTS`` bytes or, where one is longer, by themselves."""
+    hasher = Shingles()
     for b in batches:
-        held = []
-        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            shingles = hasher.of(words_of(data))
-            at, begin, end = around_keys(found, reach)
-            run = hasher.runs(shingles, at, at + reach + 1).view(np.int64)
-            # who shares a run is of one class
-            held.append((run, np.zeros(len(at), np.int64), np.full(len(at), doc, np.int64), packed(at, at - begin, end - at)))
-        if sum(len(x[0]) for x in held):
-            yield local(held, words, every)
+        size = np.cumsum(pc.binary_length(b.column(1)).to_numpy())
+        i = 0
+        while i < b.num_rows:
+            stop = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + TEXTS, "right")))
+            part = b.slice(i, stop - i)
+            yield Texts(hasher, part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2))
+            i = stop
 
 
 def popular(texts: DataFrame, words: int) -> np.ndarray:
@@ -285,23 +346,21 @@ def popular(texts: DataFrame, words: int) -> np.ndarray:
     reach = words - SHINGLE
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Shingles()
-        for b in batches:
-            out = []
-            for data, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                shingles = hasher.of(words_of(data))
-                at, _, _ = around_keys(found, reach)
-                cover = np.zeros(len(shingles) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + reach + 1, -1)
-                covered = np.cumsum(cover[:-1]) > 0
-                own, then = shingles[covered], np.append(shingles[1:], np.uint64(0))[covered]  # the end of a text is another that follows
-                order = np.lexsort((then, own))
-                own, then = own[order], then[order]
-                first = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-                out.append((own[first], then[first], then[np.append(first[1:], len(own)) - 1] if len(own) else own))
-            columns = [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["shingle", "low", "high"])
+        for x in some_texts(batches):
+            at, _, _ = x.around_keys(reach)
+            n = len(x.shingles)
+            cover = np.bincount(at, minlength=n + 1) - np.bincount(at + reach + 1, minlength=n + 1)
+            place = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            follow = np.append(x.shingles[1:], np.uint64(0))
+            follow[x.end[x.end > x.begin] - 1] = 0  # the end of a text is another that follows
+            own, then, of = x.shingles[place], follow[place], x.text(place)
+            order = np.lexsort((then, own, of))
+            own, then, of = own[order], then[order], of[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+            first = np.flatnonzero(new)
+            columns = [own[first], then[first], then[np.append(first[1:], len(own)) - 1] if len(own) else own]
+            yield pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)) for y in columns], ["shingle", "low", "high"])
 
     def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros((2, 1 << PART_BITS), np.uint8)
@@ -331,138 +390,142 @@ def need_of(words: int, similarity: float) -> tuple[int, int]:
     return t, int(np.ceil(2 * similarity * t / (1 + similarity) - 1e-9))
 
 
-def gap_keys(hasher: Shingles, shingles: np.ndarray, at: np.ndarray, before: np.ndarray, gap: np.ndarray, need: int) -> np.ndarray:
-    """One hash of the ``before`` shingles from ``at`` and of the rest of ``need`` after the gap; without ``before``, of ``need`` shingles in a row."""
-    head, tail = hasher.runs(shingles, at, at + before), hasher.runs(shingles, at + before + gap, at + gap + need)
-    return mixed(tail + np.where(before > 0, mixed(head + before.astype(np.uint64)), np.uint64(0)))
+def gap_rows(x: Texts, at: np.ndarray, before: np.ndarray, gap: int, need: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows under keys with a gap: one hash of the ``before`` shingles from ``at`` and of the rest of ``need`` after the gap; without ``before``, of ``need`` shingles in a row.
+
+    They are aligned at the longer side of the gap, and wider by one place, as after a word that was added or left out the two sides are one place apart.
+    """
+    head, tail = x.runs(at, at + before), x.runs(at + before + gap, at + gap + need)
+    keys = mixed(tail + np.where(before > 0, mixed(head + before.astype(np.uint64)), np.uint64(0)))
+    return x.rows(keys, None, np.where(2 * before >= need, at, at + before + gap), low, high, 1)
 
 
-def wide(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Windows wider by one place, as after a word that was added or left out the two sides are one place apart."""
-    return packed(place, place - low + 1, high - place + 1)
+def by_size(made: Iterator[tuple[np.ndarray, ...]], words: int, every: int) -> Iterator[pa.RecordBatch]:
+    """Windows, linked to each other where many have been made."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for x in made:
+        held.append(x)
+        if sum(len(y[0]) for y in held) >= LOCAL:
+            yield local(held, words, every)
+            held = []
+    if sum(len(y[0]) for y in held):
+        yield local(held, words, every)
+
 
+def runs_of(x: Texts, at: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """A window for each run of the shortest passage's length that holds a crowded key, under the run as key: who shares a run is of one class.
 
-def gap_rows(doc: int, keys: np.ndarray, at: np.ndarray, before: np.ndarray, gap: np.ndarray, need: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows under keys with a gap, aligned at the longer side of it."""
-    place = np.where(2 * before >= need, at, at + before + gap)
-    return keys.view(np.int64), np.zeros(len(at), np.int64), np.full(len(at), doc, np.int64), wide(place, low, high)
+    A run that holds several keys has one window, as wide as theirs together.
+    """
+    return x.rows(x.runs(at, at + reach + 1), None, at, begin, end)
 
 
-def rarest_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similarity: float, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The same texts: windows under shingles that aren't popular, of each run that holds a crowded key.
+def rarest_of(x: Texts, at: np.ndarray, begin: np.ndarray, end: np.ndarray, words: int, similarity: float, bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows under shingles that aren't popular, of each run that holds a crowded key.
 
     Of a run with as many of them as a similar one can't lack together, some are enough. A run with fewer has all of them, and keys with a gap that holds them all;
     a stretch of popular ones that is shorter than a run, but not by more than may be missing, is a key.
     """
-    hasher, reach = Shingles(), words - SHINGLE
+    reach = words - SHINGLE
     t, need = need_of(words, similarity)
     enough = t - need + 1
     taken = min(t, enough + SPARE)
-    for b in batches:
-        held = []
-        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            shingles = hasher.of(words_of(data))
-            at, begin, end = around_keys(found, reach)
-            if not len(at):
-                continue
-            common = flagged(bits[0], shingles)
-            rank = (shingles >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
-            rare = np.r_[0, np.cumsum(1 - common.astype(np.int64))]
-            n_rare = rare[at + t] - rare[at]
-            places, runs = [], []
-            some = np.flatnonzero(n_rare)
-            for i in range(0, len(some), RUNS):
-                part = some[i : i + RUNS]
-                in_run = np.lib.stride_tricks.sliding_window_view(rank, t)[at[part]]
-                least = np.argpartition(in_run, taken - 1, axis=1)[:, :taken]
-                take = np.take_along_axis(in_run, least, axis=1) >> np.uint64(63) == 0
-                places.append((at[part][:, None] + least)[take])
-                runs.append(np.broadcast_to(part[:, None], least.shape)[take])
-            if places:
-                place, run = np.concatenate(places), np.concatenate(runs)
-                order = np.argsort(place, kind="stable")
-                place, run = place[order], run[order]
-                first = np.flatnonzero(np.diff(place, prepend=-1))
-                low, high = np.minimum.reduceat(begin[run], first), np.maximum.reduceat(end[run], first)
-                place = place[first]
-                pack = packed(place, place - low, high - place)
-                left, right = np.minimum(place - low, reach), np.minimum(high - place, reach)
-                around = mixed(hasher.runs(shingles, place - left, place + right + 1) + left.astype(np.uint64)).view(np.int64)
-                held.append((shingles[place].view(np.int64), around, np.full(len(place), doc, np.int64), pack))
-            # the first and the last rare shingle of runs with few of them
-            where = np.flatnonzero(common == 0)
-            few = np.flatnonzero((n_rare > 0) & (n_rare < enough))
-            i, j = where[rare[at[few]]] - at[few], where[rare[at[few] + t] - 1] - at[few]
-            for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
-                low, high = np.maximum(j - gap + 1, 1), np.minimum(i, need - 1)
-                count = np.maximum(high - low + 1, 0)
-                of = np.repeat(np.arange(len(few)), count)
-                before = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                run = few[of]
-                size = np.full(len(run), gap)
-                keys = gap_keys(hasher, shingles, at[run], before, size, need)
-                held.append(gap_rows(doc, keys, at[run], before, size, need, begin[run], end[run]))
-            edge = np.diff(np.r_[0, common.astype(np.int8), 0])
-            start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            short = (stop - start >= need) & (stop - start < t)
-            for a, e in zip(start[short].tolist(), stop[short].tolist(), strict=True):
-                s = np.arange(a, e - need + 1)
-                k = np.searchsorted(at, s)  # a run that holds the stretch, if there is one
-                k = np.where((k < len(at)) & (at[np.minimum(k, len(at) - 1)] == s), k, k - 1)
-                ok = (k >= 0) & (at[np.maximum(k, 0)] <= s) & (at[np.maximum(k, 0)] + t >= s + need)
-                s, k = s[ok], k[ok]
-                none = np.zeros(len(s), np.int64)
-                held.append(gap_rows(doc, gap_keys(hasher, shingles, s, none, none, need), s, none, none, need, begin[k], end[k]))
-        if sum(len(x[0]) for x in held):
-            yield local(held, words, every)
+    common = flagged(bits[0], x.shingles)
+    common[ranges(x.end, np.append(x.begin[1:], len(common)))[0]] = 0  # between two texts
+    rank = (x.shingles >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63))
+    rare = np.r_[0, np.cumsum(1 - common.astype(np.int64))]
+    n_rare = rare[at + t] - rare[at]
+    places, runs = [], []
+    some = np.flatnonzero(n_rare)
+    for i in range(0, len(some), RUNS):
+        part = some[i : i + RUNS]
+        in_run = np.lib.stride_tricks.sliding_window_view(rank, t)[at[part]]
+        least = np.argpartition(in_run, taken - 1, axis=1)[:, :taken]
+        take = np.take_along_axis(in_run, least, axis=1) >> np.uint64(63) == 0
+        places.append((at[part][:, None] + least)[take])
+        runs.append(np.broadcast_to(part[:, None], least.shape)[take])
+    if places:
+        place, run = np.concatenate(places), np.concatenate(runs)
+        order = np.argsort(place, kind="stable")
+        place, run = place[order], run[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        low, high = np.minimum.reduceat(begin[run], first), np.maximum.reduceat(end[run], first)
+        place = place[first]
+        left, right = np.minimum(place - low, reach), np.minimum(high - place, reach)
+        yield x.rows(x.shingles[place], mixed(x.runs(place - left, place + right + 1) + left.astype(np.uint64)), place, low, high)
+    # the first and the last rare shingle of runs with few of them
+    where = np.flatnonzero(common == 0)
+    few = np.flatnonzero((n_rare > 0) & (n_rare < enough))
+    i, j = where[rare[at[few]]] - at[few], where[rare[at[few] + t] - 1] - at[few]
+    for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
+        before, of = ranges(np.maximum(j - gap + 1, 1), np.minimum(i, need - 1) + 1)
+        run = few[of]
+        yield gap_rows(x, at[run], before, gap, need, begin[run], end[run])
+    edge = np.diff(np.r_[0, common.astype(np.int8), 0])
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    short = (stop - start >= need) & (stop - start < t)
+    s, _ = ranges(start[short], stop[short] - need + 1)
+    if len(at):
+        k = np.searchsorted(at, s, "right") - 1  # a run that holds the stretch, if there is one
+        ok = (k >= 0) & (at[np.maximum(k, 0)] + t >= s + need)
+        s, k = s[ok], k[ok]
+        yield gap_rows(x, s, np.zeros(len(s), np.int64), 0, need, begin[k], end[k])
+
+
+def keys_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similarity: float, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts with ``pack`` of windows of crowded keys: windows under the runs of such keys, and under rare shingles of these."""
+
+    def made() -> Iterator[tuple[np.ndarray, ...]]:
+        for x in some_texts(batches):
+            at, begin, end = x.around_keys(words - SHINGLE)
+            if len(at):
+                yield runs_of(x, at, begin, end, words - SHINGLE)
+                yield from rarest_of(x, at, begin, end, words, similarity, bits)
+
+    return by_size(made(), words, every)
 
 
 def popular_runs(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of popular shingles only, some of which are followed by different ones: ``run``, ``doc``, where it begins, and the window around it."""
-    hasher, reach = Shingles(), words - SHINGLE
-    t = reach + 1
-    names = ["run", "doc", "at", "begin", "end"]
-    for b in batches:
-        out = [(np.zeros(0, np.int64),) * len(names)]
-        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            shingles = hasher.of(words_of(data))
-            at, begin, end = around_keys(found, reach)
-            common, parts = (np.r_[0, np.cumsum(flagged(x, shingles), dtype=np.int64)] for x in bits)
-            k = np.flatnonzero((common[at + t] - common[at] == t) & (parts[at + t] > parts[at]))
-            run = hasher.runs(shingles, at[k], at[k] + t).view(np.int64)
-            run, first = np.unique(run, return_index=True)
-            k = k[first]
-            out.append((run, np.full(len(k), doc, np.int64), at[k], begin[k], end[k]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+    t = words - SHINGLE + 1
+    for x in some_texts(batches):
+        at, begin, end = x.around_keys(t - 1)
+        common, parts = (np.r_[0, np.cumsum(flagged(y, x.shingles), dtype=np.int64)] for y in bits)
+        k = np.flatnonzero((common[at + t] - common[at] == t) & (parts[at + t] > parts[at]))
+        run, of = x.runs(at[k], at[k] + t).view(np.int64), x.text(at[k])
+        order = np.lexsort((at[k], run, of))
+        run, of, k = run[order], of[order], k[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (run[1:] != run[:-1]) | (of[1:] != of[:-1])  # the first of a text
+        run, of, k = run[new], of[new], k[new]
+        columns = run, x.doc[of], *(y[k] - x.begin[of] for y in (at, begin, end))
+        yield pa.RecordBatch.from_arrays([pa.array(y) for y in columns], ["run", "doc", "at", "begin", "end"])
 
 
 def gaps_of(batches: Iterator[pa.RecordBatch], words: int, every: int, similarity: float, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Texts with their runs of popular shingles that no text before has: windows under keys with a gap, and under the first ``need`` shingles."""
-    hasher = Shingles()
     t, need = need_of(words, similarity)
-    for b in batches:
-        held = []
-        for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            shingles = hasher.of(words_of(data))
-            at, begin, end = (np.array([r[x] for r in found], np.int64) for x in ("at", "begin", "end"))
-            parts = flagged(bits[1], shingles)
-            for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
-                for i in range(0, len(at), RUNS):
-                    run, before = np.nonzero(parts[at[i : i + RUNS, None] + np.arange(need - 1)])
-                    run, before, size = run + i, before + 1, np.full(len(run), gap)
-                    keys = gap_keys(hasher, shingles, at[run], before, size, need)
-                    held.append(gap_rows(doc, keys, at[run], before, size, need, begin[run], end[run]))
+
+    def made() -> Iterator[tuple[np.ndarray, ...]]:
+        for x in some_texts(batches):
+            at, begin, end = (x.found[y] + x.first for y in ("at", "begin", "end"))
+            parts = flagged(bits[1], x.shingles)
+            for i in range(0, len(at), RUNS):
+                of, before = np.nonzero(parts[at[i : i + RUNS, None] + np.arange(need - 1)])
+                of, before = of + i, before + 1
+                for gap in range(max(1, SHINGLE - 1), min(SHINGLE, t - need) + 1):
+                    yield gap_rows(x, at[of], before, gap, need, begin[of], end[of])
             if need < t:  # what two runs have at their ends, or at their beginnings, and nothing else
                 s = at[:, None] + np.arange(t - need + 1)
-                run, off = np.nonzero(parts[s + need - 1])
-                s, none = s[run, off], np.zeros(len(run), np.int64)
-                held.append(gap_rows(doc, gap_keys(hasher, shingles, s, none, none, need), s, none, none, need, begin[run], end[run]))
-        if sum(len(x[0]) for x in held):
-            yield local(held, words, every)
+                of, off = np.nonzero(parts[s + need - 1])
+                s = s[of, off]
+                yield gap_rows(x, s, np.zeros(len(s), np.int64), 0, need, begin[of], end[of])
+
+    return by_size(made(), words, every)
 
 
 def linked(batches: Iterator[pa.RecordBatch], words: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Over rows ordered by (is a link, key): links, as they are and made here.
+    """Over rows ordered by key, links among them: links, as they are and made here.
 
     Of compact windows, those of crowded keys are given as ``doc`` and ``first`` without a partner. Keys of other kinds (``every``) are never too crowded: few texts have them,
     or all their windows are of one class.
@@ -533,45 +596,75 @@ def candidates(docs: DataFrame, hashes: int, words: int, similarity: float) -> D
     every = (1 << hashes) - 1  # whoever has a run or a rare shingle in common counts as met under every function
 
     def links(rows: DataFrame, every: int) -> DataFrame:
-        met = rows.repartition("deal").sortWithinPartitions(F.col("to_doc").isNotNull(), "key")
+        met = rows.repartition("deal").sortWithinPartitions("key")  # one whole number: the sort needs no comparisons of rows
         return met.mapInArrow(lambda batches: linked(batches, words, every), LINKS)
 
-    met = staged(links(docs.select("doc_id", "data").mapInArrow(lambda batches: rows_of(batches, hashes, words), ROW), 0))
+    met = staged(links(docs.select("doc_id", "data").mapInArrow(lambda batches: rows_of(batches, hashes, words), ROW), 0), tidy=True)
     crowded = met.where("to_doc IS NULL").groupBy("doc").agg(F.collect_list(F.struct(F.col("first").alias("pack"))).alias("found"))
-    texts = staged(docs.join(crowded, docs.doc_id == crowded.doc).select("doc_id", "data", "found"))
+    texts = staged(docs.join(crowded, docs.doc_id == crowded.doc).select("doc_id", "data", "found"), tidy=True)
     bits = docs.sparkSession.sparkContext.broadcast(popular(texts, words))
     run = texts.mapInArrow(lambda batches: popular_runs(batches, words, bits.value), "run long, doc long, at long, begin long, end long")
     run = run.groupBy("run").agg(F.min(F.struct("doc", "at", "begin", "end")).alias("r")).groupBy("r.doc").agg(F.collect_list(F.struct("r.at", "r.begin", "r.end")).alias("found"))
     having = texts.drop("found").join(run, texts.doc_id == run.doc).select("doc_id", "data", "found")
     rows = [
-        texts.mapInArrow(lambda batches: runs_of(batches, words, every), ROW),
-        texts.mapInArrow(lambda batches: rarest_of(batches, words, every, similarity, bits.value), ROW),
+        texts.mapInArrow(lambda batches: keys_of(batches, words, every, similarity, bits.value), ROW),
         having.mapInArrow(lambda batches: gaps_of(batches, words, every, similarity, bits.value), ROW),
     ]
-    met = met.unionByName(links(rows[0].unionByName(rows[1]).unionByName(rows[2]), every))
+    met = met.unionByName(links(rows[0].unionByName(rows[1]), every))
     met = met.where(F.col("to_doc").isNotNull()).groupBy("doc", "to_doc", "shift")
     return met.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bit_count(F.bit_or("hash").bitwiseAND(every)).alias("hashes"))
 
 
+def spread_by_arrays(starts: np.ndarray, stops: np.ndarray, n: int, rate: float, least: int) -> list[tuple[int, int]]:
+    """The same as ``spread`` of many runs of matches."""
+    total = np.cumsum(stops - starts)
+    before, after = total - (stops - starts) - rate * starts, total - rate * stops
+    new = before < np.minimum.accumulate(np.append(0.0, before))[:-1] - 1e-9
+    new[0] |= starts[0] == 0
+    begin, value = starts[new], before[new] - 1e-9
+    ahead = np.maximum.accumulate(after[::-1])
+    to = len(after) - 1 - np.searchsorted(ahead, value)
+    end = np.minimum(n, stops[to] + ((after[to] - value) / rate).astype(np.int64))
+    keep = (end - begin >= least) & (stops[to] - begin >= least)
+    keep[1:] &= end[1:] > end[:-1]
+    return list(zip(begin[keep].tolist(), stops[to][keep].tolist(), strict=True))
+
+
 def spread(flags: np.ndarray, similarity: float, least: int) -> list[tuple[int, int]]:
     """Longest stretches, which may overlap, of ``least`` places or more whose matches make up for their misses.
 
     Misses may outweigh what came before them, if a later part makes up for it.
     """
     n, rate = len(flags), 2 * similarity / (1 + similarity)
-    sums = np.zeros(n + 1)
-    np.cumsum(flags - rate, out=sums[1:])
-    lowest = np.minimum.accumulate(sums)
-    new = flags.copy()
-    new[1:] &= sums[1:n] < lowest[: n - 1] - 1e-9
-    starts = np.flatnonzero(new)
-    ahead = np.maximum.accumulate(sums[::-1])  # the most that any end from here on reaches, last place first
-    ends = n - np.searchsorted(ahead, sums[starts] - 1e-9)
-    keep = ends - starts >= least
-    keep[1:] &= ends[1:] > ends[:-1]
-    last = np.maximum.accumulate(np.where(flags, np.arange(1, n + 1), 0))  # a stretch ends with a match
-    pairs = zip(starts[keep].tolist(), last[ends[keep] - 1].tolist(), strict=True)
-    return [(a, b) for a, b in pairs if b - a >= least]
+    marks = np.empty(n + 2, bool)
+    marks[0] = marks[-1] = False
+    marks[1:-1] = flags
+    edge = np.flatnonzero(marks[1:] != marks[:-1])  # runs of matches: a stretch begins with one and ends with one
+    if len(edge) > 2 * FEW:
+        return spread_by_arrays(edge[::2], edge[1::2], n, rate, least)
+    starts, stops = edge[::2].tolist(), edge[1::2].tolist()
+    before, after, total = [], [], 0
+    for a, e in zip(starts, stops, strict=True):
+        before.append(total - rate * a)
+        total += e - a
+        after.append(total - rate * e)
+    ahead = after[:]  # the most that any end from here on reaches
+    for i in range(len(ahead) - 2, -1, -1):
+        ahead[i] = max(ahead[i], ahead[i + 1])
+    out, lowest, furthest, to = [], 0.0, -1, 0
+    for i, a in enumerate(starts):
+        value = before[i]
+        if a and value >= lowest - 1e-9:
+            continue
+        lowest = value
+        to = max(to, i)
+        while to + 1 < len(ahead) and ahead[to + 1] >= value - 1e-9:
+            to += 1
+        end = min(n, stops[to] + int((after[to] - value + 1e-9) / rate))  # misses that it can still make up for
+        if end - a >= least and end > furthest and stops[to] - a >= least:
+            out.append((a, stops[to]))
+        furthest = end
+    return out
 
 
 def bands(one: np.ndarray, other: np.ndarray, place: np.ndarray, open_: np.ndarray, t: int, need: int) -> list[tuple[int, int, int, int]]:
@@ -626,39 +719,100 @@ def verify(one: np.ndarray, other: np.ndarray, words: int, similarity: float) ->
         mark[x] = True
         return mark
 
-    def alike(x: np.ndarray, y: np.ndarray) -> bool:
-        p, q = among(x), among(y)
-        both = np.count_nonzero(p & q)
-        return both >= (similarity - 1e-9) * (np.count_nonzero(p) + np.count_nonzero(q) - both)
-
-    shared = among(other)[one]
-    if np.count_nonzero(shared) < least * similarity - 1e-9:
+    theirs = among(other)
+    shared = theirs[one]
+    size = np.count_nonzero(shared)
+    if size < least * similarity - 1e-9:
         return []  # any passage has as many matches
+    back = among(one)[other]
+    if size >= least and size == np.count_nonzero(back):
+        p, u = int(np.argmax(shared)), int(np.argmax(back))
+        if shared[p : p + size].all() and np.array_equal(one[p : p + size], other[u : u + size]):  # one stretch, word for word, is all that they share
+            return [(p, p + size + SHINGLE - 1, u, u + size + SHINGLE - 1)]
     missed = False
     for rate in (similarity / (2 - similarity), similarity):
         for p, q in spread(shared, rate, least) or [(0, 0)]:
             mine = len(found)
-            for u, v in spread(among(one[p:q])[other], rate, least) if q else []:
-                if alike(one[p:q], other[u:v]):
+            own = among(one[p:q])
+            n_own = np.count_nonzero(own)
+            for u, v in spread(own[other], rate, least) if q else []:
+                both = among(other[u:v])
+                n = np.count_nonzero(both)
+                both &= own
+                n_both = np.count_nonzero(both)
+                if n_both >= (similarity - 1e-9) * (n_own + n - n_both):
                     found.append((p, q + SHINGLE - 1, u, v + SHINGLE - 1))
                 else:
                     missed = True
             missed |= mine == len(found)
         if not missed:
             break
+    need = int(np.ceil(2 * similarity * least / (1 + similarity) - 1e-9))
+    if missed and len(one) >= least:
+        sums = np.concatenate([[0], np.cumsum(shared)])
+        missed = (sums[least:] - sums[:-least]).max() >= need  # a run with as many matches
     if missed:
         where = np.full(len(names), -1, np.int64)
         where[other[::-1]] = np.arange(len(other))[::-1]
         left = np.ones(len(one), bool)
         for a, b, _, _ in found:
             left[a : b - SHINGLE + 1] = False
-        need = int(np.ceil(2 * similarity * least / (1 + similarity) - 1e-9))
         found += [(a, b + SHINGLE - 1, x, y + SHINGLE - 1) for a, b, x, y in bands(one, other, where[one], left, least, need)]
-    kept: list[tuple[int, int, int, int]] = []
-    for f in sorted(set(found), key=lambda f: f[0] - f[1]):  # a passage within a longer one says nothing new
-        if not any(g[0] <= f[0] and f[1] <= g[1] and g[2] <= f[2] and f[3] <= g[3] for g in kept):
-            kept.append(f)
-    return kept
+    if len(found) < 2:
+        return found
+    longest = np.array(sorted(set(found), key=lambda f: f[0] - f[1]))
+    kept, n = np.empty_like(longest), 0
+    for f in longest:  # a passage within a longer one says nothing new
+        begin, end, x, y = kept[:n].T
+        if not ((begin <= f[0]) & (f[1] <= end) & (x <= f[2]) & (f[3] <= y)).any():
+            kept[n] = f
+            n += 1
+    return [tuple(f) for f in kept[:n].tolist()]
+
+
+def plausible(key: np.ndarray, there: np.ndarray, row: np.ndarray, rows: int, least: int, similarity: float) -> np.ndarray:
+    """For each of ``rows`` whether ``verify`` may find something: ``key`` has the shingles of all first sides, each with its row mixed in, ``there`` those of the other sides.
+
+    A passage has ``least`` places or more, of whose different shingles the other side has ``similarity``. Places whose shingle may occur again count as shared, and
+    so do those that meet another one's bit: a row is left out only if even then no stretch is long and similar enough.
+    """
+    bits = max(12, int(2 * len(key) + len(there)).bit_length() + 4)
+    low = np.uint64((1 << bits) - 1)
+    slot, number = (key & low).astype(np.int64), np.arange(len(key))
+    last = np.empty(1 << bits, np.int32)
+    last[slot] = number
+    shared = last[slot] != number  # overwritten by a later one
+    again = np.zeros(1 << bits, bool)
+    again[slot[shared]] = True
+    shared |= again[slot]
+    held = np.zeros(1 << bits, bool)
+    held[(there & low).astype(np.int64)] = True
+    member = held[slot]
+    out = np.bincount(row[member], minlength=rows) >= least * similarity - 1e-9
+    shared |= member
+    sums = np.r_[0.0, np.cumsum(shared - similarity)]
+    ends = np.cumsum(np.bincount(row, minlength=rows))
+    for r in np.flatnonzero(out).tolist():
+        own = sums[ends[r - 1] if r else 0 : ends[r] + 1]
+        out[r] = len(own) > least and (own[least:] - np.minimum.accumulate(own[:-least]) >= -1e-6).any()
+    return out
+
+
+def checked(held: list[tuple], hasher: Shingles, words: int, similarity: float) -> list[tuple]:
+    """Passages of rows ``(doc, to_doc, first, to_first, part, shingles of the other side)``."""
+    if not held:
+        return []
+    mine, begin, end = places_of(hasher, [h[4] for h in held])
+    salt = np.arange(len(held), dtype=np.uint64) * BASE
+    at, row = ranges(begin, end)
+    there = np.concatenate([h[5] for h in held]) ^ np.repeat(salt, [len(h[5]) for h in held])
+    fit = plausible(mine[at] ^ salt[row], there, row, len(held), words - SHINGLE + 1, similarity)
+    out = []
+    for r in np.flatnonzero(fit).tolist():
+        doc, to_doc, first, to_first, _, other = held[r]
+        for p, q, u, v in verify(mine[begin[r] : end[r]], other, words, similarity):
+            out.append((doc, to_doc, first + p, first + q, to_first + u, to_first + v))
+    return out
 
 
 def near_passages(
@@ -682,9 +836,9 @@ def near_passages(
     named = read.where("doc_id IS NOT NULL AND data IS NOT NULL")
     ids = named.select("doc_id", F.md5("data").alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    copies = staged(ids.join(first.where("n > 1"), "digest").where("doc_id <> node").select("doc_id", "node").distinct())
+    copies = staged(ids.join(first.where("n > 1"), "digest").where("doc_id <> node").select("doc_id", "node").distinct(), tidy=True)
 
-    met = staged(candidates(named, hashes, words, similarity).where(F.col("hashes") >= enough))
+    met = staged(candidates(named, hashes, words, similarity).where(F.col("hashes") >= enough), tidy=True)
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         of = copies.groupBy(F.col("doc_id").alias(column)).agg(F.min("node").alias("_node"))
@@ -713,7 +867,9 @@ def near_passages(
         for b in batches:
             rows: list[tuple] = []
             for doc, data, found in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                w = z.decompress(data).split()
+                text = z.decompress(data)
+                space = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+                begin, end = [0, *(space + 1).tolist()], [*space.tolist(), len(text)]
                 met: dict[int, list[tuple[int, int, int, int]]] = {}
                 for r in found:
                     a, e = max(0, r["first"]), r["last"] + SHINGLE
@@ -722,7 +878,7 @@ def near_passages(
                     if len(ranges) > ALIGNMENTS:
                         low, high = np.min(ranges, axis=0).tolist(), np.max(ranges, axis=0).tolist()
                         ranges = [(low[0], high[1], low[2], high[3])]
-                    rows += [(doc, to_doc, a, x, y, b" ".join(w[a:e])) for a, e, x, y in ranges]
+                    rows += [(doc, to_doc, a, x, y, text[begin[a] : end[min(e, len(end)) - 1]]) for a, e, x, y in ranges]
             kinds = [pa.int64()] * 5 + [pa.binary()]
             names = ["doc", "to_doc", "first", "to_first", "to_end", "part"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -731,24 +887,30 @@ def near_passages(
     parts = texts.join(of, texts.doc_id == of.doc).select("doc", "words", "found").mapInArrow(
         cut, "doc long, to_doc long, first long, to_first long, to_end long, part binary"
     )
-    both = staged(parts).join(texts, F.col("to_doc") == texts.doc_id).select("doc", "to_doc", "first", "to_first", "to_end", "part", "words")
+    both = staged(parts, tidy=True).join(texts, F.col("to_doc") == texts.doc_id).select("doc", "to_doc", "first", "to_first", "to_end", "part", "words")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, hasher = zstandard.ZstdDecompressor(), Shingles()
         last, shingles = None, np.zeros(0, np.uint64)
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            held: list[tuple] = []
+            size = 0
             for doc, to_doc, first, to_first, to_end, part, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 at = max(0, to_first)
                 if data != last:  # rows of a text come one after the other
                     last, shingles = data, hasher.joined(z.decompress(data))
-                for a, e, x, y in verify(hasher.joined(part), shingles[at : max(at, to_end - SHINGLE + 1)], words, similarity):
-                    rows.append((doc, to_doc, first + a, first + e, at + x, at + y))
+                held.append((doc, to_doc, first, at, part, shingles[at : max(at, to_end - SHINGLE + 1)]))
+                size += len(part)
+                if size > CHECKED:
+                    rows += checked(held, hasher, words, similarity)
+                    held, size = [], 0
+            rows += checked(held, hasher, words, similarity)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], ["doc", "to_doc", "begin", "end", "to_begin", "to_end"]
             )
 
-    true = staged(both.mapInArrow(check, "doc long, to_doc long, begin long, end long, to_begin long, to_end long"))
+    true = staged(both.mapInArrow(check, "doc long, to_doc long, begin long, end long, to_begin long, to_end long"), tidy=True)
 
     span = F.struct(F.col("begin").alias("begin"), F.col("end").alias("end"))
     other = F.struct(F.col("to_begin").alias("begin"), F.col("to_end").alias("end"))
@@ -773,7 +935,7 @@ def near_passages(
 
     # texts that repeat themselves were compared at one place of each class only
     repeated = named.dropDuplicates(["doc_id"]).join(again, "doc_id").join(spans, F.col("doc_id") == F.col("node")).select("node", "data", "spans")
-    repeated = staged(repeated.mapInArrow(repeat, "node long, spans array<struct<begin:long,end:long>>"))
+    repeated = staged(repeated.mapInArrow(repeat, "node long, spans array<struct<begin:long,end:long>>"), tidy=True)
     spans = spans.join(repeated.select("node"), "node", "left_anti").unionByName(repeated)
     component = connected_components(true.select(F.col("doc").alias("src"), F.col("to_doc").alias("dst")))
 

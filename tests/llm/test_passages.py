@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from paceline.llm.passages import near_passages, spread, verify
+from paceline.llm.passages import Shingles, checked, near_passages, spread, verify
 
 
 def test_spread_covers_every_stretch_that_balances():
@@ -142,3 +142,22 @@ def test_recall_where_common_lines_are_combined_freely(spark):
         for k in range(30):
             for d, begin in ((1000 + 2 * k, 30), (1001 + 2 * k, 40)):
                 assert any(s.begin <= begin and begin + 50 <= s.end for s in got[d].passages), d
+
+
+def test_pairs_compared_together_are_those_compared_one_by_one(monkeypatch):
+    """A batch of pairs, of which only those that may have a passage are compared in full."""
+    text, rng, hasher, calls = texts_of(17), np.random.default_rng(18), Shingles(), []
+    rows = []
+    for k in range(200):
+        own, other = text(120), text(120)
+        if k % 4 == 0:
+            other[30:110] = own[20:100]
+            for at in rng.integers(30, 110, k % 3):
+                other[at] = text(1)[0]
+        if k % 4 == 1:
+            other[:45] = own[:45]
+        rows.append((k, 1000 + k, 7, 3, " ".join(own).encode(), hasher.joined(" ".join(other).encode())))
+    truth = [(d, e, a + 7, b + 7, x + 3, y + 3) for d, e, _, _, part, there in rows for a, b, x, y in verify(hasher.joined(part), there, 50, 0.8)]
+    monkeypatch.setattr("paceline.llm.passages.verify", lambda *a: calls.append(1) or verify(*a))
+    assert checked(rows, hasher, 50, 0.8) == truth
+    assert len({r[0] for r in truth}) >= 40 and len(calls) < 110
